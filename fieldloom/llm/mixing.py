@@ -6,7 +6,7 @@ from collections.abc import Iterable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldloom.llm.common import WORD, checked, cut, positions
@@ -70,6 +70,12 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, window: int = 1 <<
     return np.array(take, np.int64)
 
 
+def seeded(seed: int) -> Column:
+    """A hash of the seed, the doc_id and the text."""
+    text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    return F.xxhash64(F.lit(seed), F.col("doc_id").cast("long"), F.crc32(text))
+
+
 def mix(
     docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: int = 17,
     window: int = 1 << 16,
@@ -81,16 +87,15 @@ def mix(
     order of a seeded hash. What one task sees of a source is one row per distinct length, and what the targets see is
     one row per source. Documents are ranked by a global sort, so a length that a third of the rows share is spread.
 
-    Returns doc_id, size (words), source_size, target, taken (words, repeats counted) and times. A null text has no
+    Returns doc_id, size (words), source_size, target, taken (words, repeats counted), times and _key, the hash. A null text has no
     words; documents without words are taken 0 words; equal rows are interchangeable; an empty table gives an empty
     result; other columns are not read. Reruns agree: the hash is of seed, doc_id and the text's CRC-32."""
-    text = F.coalesce(F.col("text"), F.lit(""))
     base = cut(
         docs.select(
             F.col("doc_id").cast("long").alias("doc_id"),
             F.col("source").cast("string").alias("source"),
-            F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"),
-            F.xxhash64(F.lit(seed), F.col("doc_id").cast("long"), F.crc32(text.cast("binary"))).alias("_key"),
+            F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)).cast("long").alias("size"),
+            seeded(seed).alias("_key"),
         )
     )
     by_length = base.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n"))
@@ -128,5 +133,21 @@ def mix(
     times = F.col("whole") + (F.col("_pos") - F.col("_first") < F.col("some")).cast("long")
     times = F.when(F.col("size") > 0, times).otherwise(F.lit(0)).cast("long")
     return joined.withColumn("times", times).select(
-        "doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"), "times"
+        "doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"), "times", "_key"
     )
+
+
+def repeated(docs: DataFrame, seed: int = 17, **options) -> DataFrame:
+    """docs, all its columns, each row as often as the mix takes it; rows taken 0 times are left out. Rows that agree
+    in doc_id and text share what the mix takes of them evenly."""
+    times = mix(docs, seed=seed, **options).groupBy("_key").agg(F.sum("times").alias("_times"), F.count(F.lit(1)).alias("_rows"))
+    times = cut(times.where("_times > 0"))
+    rows = docs.withColumn("_own", seeded(seed)).join(checked(times), F.col("_own") == F.col("_key"))
+    once = rows.where("_rows = 1")
+    if times.where("_rows > 1").limit(1).count():
+        nth = F.row_number().over(Window.partitionBy("_own").orderBy("doc_id"))
+        some = rows.where("_rows > 1").withColumn("_nth", nth)
+        some = some.withColumn("_times", F.expr("_times div _rows + if(_nth <= _times % _rows, 1L, 0L)")).drop("_nth")
+        once = once.unionByName(some.where("_times > 0"))
+    again = F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))
+    return once.withColumn("_again", again).select(*docs.columns)

@@ -12,7 +12,7 @@ SPACE = r"[\x20\x09-\x0D]+"
 TOP = 1000
 #: A threshold is this many quartile ranges, and this many units besides, beyond the quartile.
 RANGES = 3
-SLACK = {"symbols": 120, "length": 30, "lines": 300}
+SLACK = {"symbols": 60, "length": 30, "lines": 300}
 #: Documents of a language and source from which it has thresholds of its own; else those of all documents hold.
 LEAST = 50
 

@@ -7,15 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.llm import langid, mixing, packing, quality, sharding, topk, urlfilter
+from fieldloom.llm import langid, mixing, ngram_join, packing, pii, quality, sharding, topk, urlfilter
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(_documents(spark, sf_dir))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(_documents(spark, sf_dir)).drop("times")
+    return mixing.mix(_documents(spark, sf_dir)).drop("times", "_key")
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,6 +34,10 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.held_out_predictions(_documents(spark, sf_dir))
 
 
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.classes(_documents(spark, sf_dir))
+
+
 def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 100 == 0)
 
@@ -44,10 +52,12 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_pii": op1_pii,
         "op2_mixing": op2_mixing,
         "op3_packing": op3_packing,
         "op4_sharding": op4_sharding,
         "op5_language": op5_language,
+        "op6_near_duplicates": op6_near_duplicates,
         "op7_topk": op7_topk,
         "op8_urls": op8_urls,
         "op9_quality": op9_quality,
@@ -137,7 +147,7 @@ WITH w AS (
          CASE WHEN n_words > 0 THEN least(1000, n_dup_lines * 1000 // n_lines) END AS lines
   FROM m
 ), long AS (
-  SELECT lang, source, 'symbols' AS feature, 120 AS slack, symbols AS v FROM f WHERE n_words > 0
+  SELECT lang, source, 'symbols' AS feature, 60 AS slack, symbols AS v FROM f WHERE n_words > 0
   UNION ALL SELECT lang, source, 'length', 30, length FROM f WHERE n_words > 0
   UNION ALL SELECT lang, source, 'lines', 300, lines FROM f WHERE n_words > 0
 ), q AS (
