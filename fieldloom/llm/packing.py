@@ -16,36 +16,55 @@ from fieldloom.llm.common import cut, positions
 TOKENIZER = "word_bpe_49k.json"
 #: Words whose ids a worker remembers; past it, it forgets all and starts anew.
 REMEMBERED = 400_000
+#: Marks that may end a word of letters; none of them starts a token with letters in it.
+MARKS = ".,;:!?#*%&$|<>"
 _tokenizers: dict = {}
 
 
+def _byte_letters() -> dict[int, int]:
+    """The letter that stands for each byte in the vocabulary: itself where it can be printed, else the next one from
+    U+0100 on."""
+    printed = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in set(printed)]
+    return {b: b for b in printed} | {b: 0x100 + i for i, b in enumerate(rest)}
+
+
 class WordIds:
     """The ids of a text, found word by word and remembered.
 
     The vocabulary drops white space and never joins what white space parts, so a text's ids are its words' ids in
     turn. A word is split off at a space, tab or line feed; other white space stays inside a word, for the tokenizer
-    itself to drop. An ASCII word is known by its lower case, its letters apart from the marks behind them."""
+    itself to drop. A word of European Latin letters, but for marks at its end, is looked up as its lower-case letters
+    and its marks, and letters alone need the merges only, not the steps before them."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.merge = self.tokenizer.model.tokenize
+        self.letters = _byte_letters()
         self.known: dict[str, bytes] = {"": b""}
 
     def _encode(self, words: list[str]) -> None:
-        for word, found in zip(words, self.tokenizer.encode_batch(words, add_special_tokens=False), strict=True):
+        whole = []
+        for word in words:
+            if word.isalpha() and word.islower() and max(word) < "\u0180":
+                spelt = word.encode().decode("latin-1").translate(self.letters)
+                self.known[word] = np.array([t.id for t in self.merge(spelt)], "<u4").tobytes()
+            else:
+                whole.append(word)
+        for word, found in zip(whole, self.tokenizer.encode_batch(whole, add_special_tokens=False), strict=True):
             self.known[word] = np.array(found.ids, "<u4").tobytes()
 
     def learn(self, words: set[str]) -> None:
         known, parts, plain = self.known, {}, set()
         for word in words:
-            low = word.lower() if word.isascii() else word
-            head = low.rstrip(".,") if word.isascii() else low
-            tail = low[len(head):]
-            if head != word and (not head or head.isalpha()):
-                parts[word] = (head, tail)
-                plain.update(x for x in (head, tail) if x not in known)
+            head = word.rstrip(MARKS)
+            if head.isalpha() and max(head) < "\u0180" and "\u0130" not in head:
+                low, tail = head.lower(), word[len(head):]
+                parts[word] = (low, tail)
+                plain.update(x for x in (low, tail) if x not in known)
             else:
                 plain.add(word)
         self._encode(sorted(plain))
