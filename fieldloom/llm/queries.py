@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.llm import langid, mixing, ngram_join, packing, pii, quality, sharding, topk, urlfilter
+from fieldloom.llm import langid, mixing, ngram_join, packing, pii, quality, sharding, substring, topk, urlfilter
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,6 +50,10 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(_documents(spark, sf_dir))
 
 
+def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.repeated_passages(_documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pii": op1_pii,
@@ -61,6 +65,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_topk": op7_topk,
         "op8_urls": op8_urls,
         "op9_quality": op9_quality,
+        "op10_passages": op10_passages,
     }
 
 

@@ -84,3 +84,20 @@ def each(texts: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
         for i in range(to - at):
             yield at + i, shingles(words[first[i] : first[i + 1]])
         at = to
+
+
+def runs(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For some texts at a time: the first one's index, the shingle hashes over all their words as one sequence, and
+    the index of each text's first word. Shingles that reach into the next text are to be left out by the caller."""
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    if len(texts) == 0:
+        return
+    bounds = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+    at = 0
+    while at < len(texts):
+        to = max(at + 1, int(np.searchsorted(bounds, bounds[at] + CHUNK, "right")) - 1)
+        part = bounds[at : to + 1]
+        words, first = word_hashes(data[part[0] : part[-1]], part - part[0])
+        yield at, shingles(words) if len(words) >= WORDS else np.zeros(0, np.uint64), first
+        at = to
