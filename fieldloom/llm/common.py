@@ -93,10 +93,9 @@ def bit_filter(df: DataFrame, column: str, log_bits: int) -> np.ndarray:
     slot = F.col(column).bitwiseAND(F.lit((1 << log_bits) - 1))
     word = F.shiftright(slot, 6).cast("int").alias("w")
     bit = F.expr("shiftleft(1L, cast(s & 63 as int))")
-    rows = df.select(slot.alias("s"), word).groupBy("w").agg(F.bit_or(bit).alias("b")).collect()
+    rows = df.select(slot.alias("s"), word).groupBy("w").agg(F.bit_or(bit).alias("b")).toArrow()
     words = np.zeros(1 << max(0, log_bits - 6), np.int64)
-    if rows:
-        words[[r["w"] for r in rows]] = [r["b"] for r in rows]
+    words[rows["w"].to_numpy()] = rows["b"].to_numpy()
     return words.view(np.uint64)
 
 

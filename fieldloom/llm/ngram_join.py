@@ -16,6 +16,8 @@ from fieldloom.llm.components import components
 
 #: Similarity in percent, and fragments that the order of n-grams is cut into.
 PERCENT, FRAGMENTS = 80, 4
+#: 64-bit words of a set's profile, in which every n-gram sets the bit of its slot; its fragment number.
+PROFILE, OUTLINE = 32, -1
 #: Counters of the sketch that orders n-grams by frequency, in each of its rows: between these powers of two.
 LEAST_LOG, MOST_LOG = 16, 24
 _ROW = 4096  # counters of a sketch row
@@ -115,7 +117,8 @@ def prefixes(docs: DataFrame, sketch, log: int, bits=None) -> DataFrame:
 
 
 def segments(docs: DataFrame, bits, fragments: int = FRAGMENTS) -> DataFrame:
-    """node, fragment, part: the sets that have their bit, cut by the n-grams' order into fragments."""
+    """node, fragment, part: the sets that have their bit, cut by the n-grams' order into fragments; and as fragment
+    OUTLINE each set's profile."""
     schema = pa.schema([("node", pa.int64()), ("fragment", pa.int32()), ("part", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,7 +133,10 @@ def segments(docs: DataFrame, bits, fragments: int = FRAGMENTS) -> DataFrame:
                 if node is None or node in seen or not passes(keep, np.array([node]).view(np.uint64))[0]:
                     continue
                 seen.add(node)
-                for i, part in enumerate(np.split(s, np.searchsorted(s, cuts))):
+                slot = (shingles.mix(s) % np.uint64(64 * PROFILE)).astype(np.int64)
+                profile = np.zeros(PROFILE, np.uint64)
+                np.bitwise_or.at(profile, slot >> 6, np.uint64(1) << (slot & 63).astype(np.uint64))
+                for i, part in [(OUTLINE, profile), *enumerate(np.split(s, np.searchsorted(s, cuts)))]:
                     if len(part):
                         nodes.append(node)
                         which.append(i)
@@ -144,13 +150,29 @@ def segments(docs: DataFrame, bits, fragments: int = FRAGMENTS) -> DataFrame:
     return docs.select("text").mapInArrow(run, "node long, fragment int, part array<long>")
 
 
+def possible(pairs: DataFrame, parts: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The pairs that their profiles do not rule out: every bit that one set has and the other lacks is an n-gram that
+    the other lacks, so the overlap is at most what is left of either set."""
+    outline = lambda k: parts.where(f"fragment = {OUTLINE}").select(F.col("node").alias(k), F.col("part").alias(f"p{k}"))
+    both = pairs.join(outline("b"), "b").join(outline("a"), "a")
+    lacks = lambda x, y: F.aggregate(
+        F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q)))), F.lit(0), lambda t, v: t + v
+    )
+    both = both.withColumn("o", F.least(F.col("na") - lacks("pa", "pb"), F.col("nb") - lacks("pb", "pa")))
+    return both.where(f"100 * o >= {percent} * (na + nb - o)").select("a", "b", "na", "nb")
+
+
 def linked(pairs: DataFrame, parts: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The pairs (a, b, na, nb) that are similar. Each fragment's overlap is counted by itself, and a pair's sum over
     the fragments decides."""
-    left = parts.select(F.col("node").alias("b"), "fragment", F.col("part").alias("pb"))
-    right = parts.join(checked(cut(pairs.select(F.col("a").alias("node")).distinct())), "node", "left_semi")
-    right = right.select(F.col("node").alias("a"), "fragment", F.col("part").alias("pa"))
-    both = pairs.join(left, "b").join(right, ["a", "fragment"])
+    pairs = cut(possible(pairs, parts, percent))
+
+    def side(k: str) -> DataFrame:
+        nodes = checked(cut(pairs.select(F.col(k).alias("node")).distinct()))
+        rows = parts.where(f"fragment <> {OUTLINE}").join(nodes, "node", "left_semi")
+        return rows.select(F.col("node").alias(k), "fragment", F.col("part").alias(f"p{k}"))
+
+    both = pairs.join(side("b"), "b").join(side("a"), ["a", "fragment"])
     counted = both.select("a", "b", "na", "nb", F.size(F.array_intersect("pa", "pb")).alias("o"))
     total = counted.groupBy("a", "b", "na", "nb").agg(F.sum("o").alias("o"))
     return total.where(f"100 * o >= {percent} * (na + nb - o)").select("a", "b")
@@ -182,6 +204,7 @@ def similar(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         short = F.shiftright("node", 24)
         twice = prefixes(docs, sketch, log).groupBy("token").agg(F.min(short).alias("lo"), F.max(short).alias("hi"))
         bits = bit_filter(twice.where("lo <> hi"), "token", min(27, log + 8))
+        del twice
         release(spark)
         rows = prefixes(docs, sketch, log, share(bits)).distinct()
         rows = scratch.keep(rows)
@@ -225,8 +248,7 @@ def similar(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
                 )
             pairs = pairs.where(_near(percent)).select("a", "b", "na", "nb").distinct()
             pairs = scratch.keep(pairs.join(tested, ["a", "b"], "left_anti").select("a", "b", "na", "nb"))
-            involved = checked(cut(pairs.select("a").union(pairs.select("b")).distinct()).withColumnRenamed("a", "node"))
-            new = linked(pairs, parts.join(involved, "node", "left_semi"), percent)
+            new = linked(pairs, parts, percent)
             edges, tested = scratch.keep(edges.union(new)), scratch.keep(tested.union(pairs))
             release(spark)
             turn += 1
