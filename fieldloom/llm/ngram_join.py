@@ -16,8 +16,8 @@ from fieldloom.llm.components import components
 
 #: Similarity in percent, and fragments that the order of n-grams is cut into.
 PERCENT, FRAGMENTS = 80, 4
-#: 64-bit words of a set's profile, in which every n-gram sets the bit of its slot; its fragment number.
-PROFILE, OUTLINE = 32, -1
+#: 64-bit words of a set's profile.
+PROFILE = 32
 #: Counters of the sketch that orders n-grams by frequency, in each of its rows: between these powers of two.
 LEAST_LOG, MOST_LOG = 16, 24
 _ROW = 4096  # counters of a sketch row
@@ -83,16 +83,26 @@ def prefix_size(n: int, percent: int = PERCENT) -> int:
     return n - -(-percent * n // 100) + 1
 
 
+def outline(s: np.ndarray) -> np.ndarray:
+    """A set's profile, in which every n-gram sets the bit of its slot."""
+    slot = (shingles.mix(s) % np.uint64(64 * PROFILE)).astype(np.int64)
+    profile = np.zeros(PROFILE, np.uint64)
+    np.bitwise_or.at(profile, slot >> 6, np.uint64(1) << (slot & 63).astype(np.uint64))
+    return profile.view(np.int64)
+
+
 def prefixes(docs: DataFrame, sketch, log: int, bits=None) -> DataFrame:
     """token, node, n: the first n-grams of each set in the global order, which is by the sketch's count and then by
-    hash; each set once a task. With `bits` only tokens that have their bit."""
-    schema = pa.schema([("token", pa.int64()), ("node", pa.int64()), ("n", pa.int64())])
+    hash; each set once a task. With `bits` only tokens that have their bit, and with each set's first one its
+    profile."""
+    fields = [("token", pa.int64()), ("node", pa.int64()), ("n", pa.int64())]
+    schema = pa.schema(fields + [("profile", pa.list_(pa.int64()))] * (bits is not None))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, keep = sketch.value, bits.value if bits is not None else None
         seen: set[int] = set()
         for batch in batches:
-            tokens, nodes, sizes = [], [], []
+            tokens, nodes, sizes, outlines = [], [], [], []
             for _, s in shingles.each(batch.column(0)):
                 s = np.unique(s)
                 node = _signature(s) if len(s) else None
@@ -102,23 +112,26 @@ def prefixes(docs: DataFrame, sketch, log: int, bits=None) -> DataFrame:
                 size = len(s)
                 often = counts[(s >> np.uint64(64 - log)).astype(np.int64)].astype(np.uint64)
                 order = np.argsort(often << np.uint64(32) | s >> np.uint64(32), kind="stable")
-                s = s[order[: prefix_size(size)]]
+                whole, s = s, s[order[: prefix_size(size)]]
                 if keep is not None:
                     s = s[passes(keep, s)]
                 if len(s):
+                    if keep is not None:
+                        outlines += [outline(whole)] + [None] * (len(s) - 1)
                     tokens.append(s)
                     nodes.append(np.full(len(s), node, np.int64))
                     sizes.append(np.full(len(s), size, np.int64))
             if tokens:
                 tokens = np.concatenate(tokens).view(np.int64)
-                yield _batch({"token": tokens, "node": np.concatenate(nodes), "n": np.concatenate(sizes)}, schema)
+                cols = {"token": tokens, "node": np.concatenate(nodes), "n": np.concatenate(sizes), "profile": outlines}
+                yield _batch(cols, schema)
 
-    return docs.select("text").mapInArrow(run, "token long, node long, n long")
+    kind = "token long, node long, n long" + ", profile array<long>" * (bits is not None)
+    return docs.select("text").mapInArrow(run, kind)
 
 
 def segments(docs: DataFrame, bits, fragments: int = FRAGMENTS) -> DataFrame:
-    """node, fragment, part: the sets that have their bit, cut by the n-grams' order into fragments; and as fragment
-    OUTLINE each set's profile."""
+    """node, fragment, part: the sets that have their bit, cut by the n-grams' order into fragments."""
     schema = pa.schema([("node", pa.int64()), ("fragment", pa.int32()), ("part", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,10 +146,7 @@ def segments(docs: DataFrame, bits, fragments: int = FRAGMENTS) -> DataFrame:
                 if node is None or node in seen or not passes(keep, np.array([node]).view(np.uint64))[0]:
                     continue
                 seen.add(node)
-                slot = (shingles.mix(s) % np.uint64(64 * PROFILE)).astype(np.int64)
-                profile = np.zeros(PROFILE, np.uint64)
-                np.bitwise_or.at(profile, slot >> 6, np.uint64(1) << (slot & 63).astype(np.uint64))
-                for i, part in [(OUTLINE, profile), *enumerate(np.split(s, np.searchsorted(s, cuts)))]:
+                for i, part in enumerate(np.split(s, np.searchsorted(s, cuts))):
                     if len(part):
                         nodes.append(node)
                         which.append(i)
@@ -150,11 +160,11 @@ def segments(docs: DataFrame, bits, fragments: int = FRAGMENTS) -> DataFrame:
     return docs.select("text").mapInArrow(run, "node long, fragment int, part array<long>")
 
 
-def possible(pairs: DataFrame, parts: DataFrame, percent: int = PERCENT) -> DataFrame:
+def possible(pairs: DataFrame, profiles: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The pairs that their profiles do not rule out: every bit that one set has and the other lacks is an n-gram that
     the other lacks, so the overlap is at most what is left of either set."""
-    outline = lambda k: parts.where(f"fragment = {OUTLINE}").select(F.col("node").alias(k), F.col("part").alias(f"p{k}"))
-    both = pairs.join(outline("b"), "b").join(outline("a"), "a")
+    of = lambda k: profiles.select(F.col("node").alias(k), F.col("profile").alias(f"p{k}"))
+    both = pairs.join(of("b"), "b").join(of("a"), "a")
     lacks = lambda x, y: F.aggregate(
         F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q)))), F.lit(0), lambda t, v: t + v
     )
@@ -162,17 +172,17 @@ def possible(pairs: DataFrame, parts: DataFrame, percent: int = PERCENT) -> Data
     return both.where(f"100 * o >= {percent} * (na + nb - o)").select("a", "b", "na", "nb")
 
 
-def linked(pairs: DataFrame, parts: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The pairs (a, b, na, nb) that are similar. Each fragment's overlap is counted by itself, and a pair's sum over
-    the fragments decides."""
-    pairs = cut(possible(pairs, parts, percent))
-
-    def side(k: str) -> DataFrame:
-        nodes = checked(cut(pairs.select(F.col(k).alias("node")).distinct()))
-        rows = parts.where(f"fragment <> {OUTLINE}").join(nodes, "node", "left_semi")
-        return rows.select(F.col("node").alias(k), "fragment", F.col("part").alias(f"p{k}"))
-
-    both = pairs.join(side("b"), "b").join(side("a"), ["a", "fragment"])
+def linked(docs: DataFrame, pairs: DataFrame, profiles: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The pairs (a, b, na, nb) that are similar. Only sets of pairs that may be are cut into fragments; each
+    fragment's overlap is counted by itself, and a pair's sum over the fragments decides."""
+    pairs = cut(possible(pairs, profiles, percent))
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    n = nodes.count()
+    bits = docs.sparkSession.sparkContext.broadcast(bit_filter(nodes, "node", log_size(n, LEAST_LOG, MOST_LOG) + 3))
+    parts = segments(docs, bits).dropDuplicates(["node", "fragment"])
+    left = parts.select(F.col("node").alias("b"), "fragment", F.col("part").alias("pb"))
+    right = parts.select(F.col("node").alias("a"), "fragment", F.col("part").alias("pa"))
+    both = pairs.join(left, "b").join(right, ["a", "fragment"])
     counted = both.select("a", "b", "na", "nb", F.size(F.array_intersect("pa", "pb")).alias("o"))
     total = counted.groupBy("a", "b", "na", "nb").agg(F.sum("o").alias("o"))
     return total.where(f"100 * o >= {percent} * (na + nb - o)").select("a", "b")
@@ -206,20 +216,19 @@ def similar(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         bits = bit_filter(twice.where("lo <> hi"), "token", min(27, log + 8))
         del twice
         release(spark)
-        rows = prefixes(docs, sketch, log, share(bits)).distinct()
-        rows = scratch.keep(rows)
+        sets = scratch.keep(prefixes(docs, sketch, log, share(bits)))
+        profiles = sets.where("profile is not null").dropDuplicates(["node"]).select("node", "profile")
+        rows = scratch.keep(sets.select("token", "node", "n").distinct())
         firsts = rows.groupBy("token").agg(F.min(F.struct("node", "n")).alias("c"), F.max("node").alias("hi"))
         firsts = firsts.where("c.node <> hi").select("token", F.col("c.node").alias("cn"), F.col("c.n").alias("cs"))
         rows = scratch.keep(rows.join(checked(firsts), "token"))
-        release(spark)
-        known = rows.select("node").distinct()
-        parts = scratch.keep(segments(docs, share(bit_filter(known, "node", min(27, log + 4)))).dropDuplicates(["node", "fragment"]))
+        profiles = scratch.keep(profiles.join(checked(rows.select("node").distinct()), "node", "left_semi"))
         release(spark)
 
         least = rows.where("node <> cn").groupBy("node", "n").agg(F.min(F.struct("cn", "cs")).alias("c"))
         pairs = least.select(F.col("c.cn").alias("a"), F.col("node").alias("b"), F.col("c.cs").alias("na"), F.col("n").alias("nb"))
         tested = scratch.keep(pairs.where(_near(percent)))
-        edges = scratch.keep(linked(tested, parts, percent))
+        edges = scratch.keep(linked(docs, tested, profiles, percent))
         turn = 0
         while True:
             root = components(edges)
@@ -248,7 +257,7 @@ def similar(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
                 )
             pairs = pairs.where(_near(percent)).select("a", "b", "na", "nb").distinct()
             pairs = scratch.keep(pairs.join(tested, ["a", "b"], "left_anti").select("a", "b", "na", "nb"))
-            new = linked(pairs, parts, percent)
+            new = linked(docs, pairs, profiles, percent)
             edges, tested = scratch.keep(edges.union(new)), scratch.keep(tested.union(pairs))
             release(spark)
             turn += 1
