@@ -36,7 +36,7 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, window: int = 1 <<
     """How many documents of each length to take so that their lengths sum to the budget, or as near as found.
 
     First every length gives its proportional share, rounded down, then long documents go in until no more than about
-    half the window is open; a bounded knapsack over what is left of each length fits that rest. The sums reachable
+    half the window is open, and a few short ones back out; a bounded knapsack over what is left of each length fits that rest. The sums reachable
     after each step are bits of one integer; a length's count enters by powers of two."""
     lengths, counts = [int(x) for x in lengths], [int(x) for x in counts]
     total = sum(a * b for a, b in zip(lengths, counts, strict=True))
@@ -51,6 +51,10 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, window: int = 1 <<
         more = min(counts[i] - take[i], max(0, rest - window // 2) // lengths[i])
         take[i] += more
         rest -= more * lengths[i]
+    for i in reversed(long_first):  # some short ones go back, which lets the knapsack choose among more sums
+        back = min(take[i], 8, max(0, window - rest) // lengths[i])
+        take[i] -= back
+        rest += back * lengths[i]
     spare = [i for i in reversed(long_first) if counts[i] > take[i]]
     limit = rest + max((lengths[i] for i in spare), default=0)
     within, reach, steps = (1 << (limit + 1)) - 1, 1, []
