@@ -48,8 +48,8 @@ def _covered(hashes: str) -> Column:
     return F.when(F.size(hashes) == F.size(F.array_distinct(hashes)), F.lit(0).cast("long")).otherwise(once)
 
 
-def measured(docs: DataFrame, repeats: bool = True) -> DataFrame:
-    """docs with _n_words, _word_chars, _n_symbols, _n_dup_lines and, if asked for, _n_repeat_words."""
+def measured(docs: DataFrame, repeats: bool = True, row: Column | None = None) -> DataFrame:
+    """docs with _n_words, _word_chars, _n_symbols, _n_dup_lines and, if asked for, _n_repeat_words and _row."""
     text = F.coalesce(F.col("text"), F.lit(""))
     out = docs.withColumn("_w", words(text))
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(WORD))
@@ -64,7 +64,8 @@ def measured(docs: DataFrame, repeats: bool = True) -> DataFrame:
     )
     if repeats:
         out = out.withColumn("_h", window_hashes("_w"))
-        out = out.withColumn("_n_repeat_words", _covered("_h")).drop("_h")
+        extra = {} if row is None else {"_row": row}
+        out = out.withColumns({"_n_repeat_words": _covered("_h")} | extra).drop("_h")
     return out.drop("_w", "_l")
 
 
@@ -114,8 +115,8 @@ def thresholds(counts: DataFrame) -> DataFrame:
     )
 
 
-def judged(docs: DataFrame) -> DataFrame:
-    """docs, all its columns, with the counts of measured(), _base_failed and _kept.
+def judged(docs: DataFrame, row: Column | None = None) -> DataFrame:
+    """docs, all its columns, with the counts of measured(), _row if given, _base_failed and _kept.
 
     The base rules fail a document of under 10 words or with over 20 % of its words in repeated windows; the adaptive
     ones reject a document with a measure beyond its language and source's thresholds. Two passes over the text, one
@@ -123,7 +124,7 @@ def judged(docs: DataFrame) -> DataFrame:
     languages and sources than a checked broadcast takes. A null text has no words and fails; null languages and
     sources are groups of their own."""
     limits = cut(thresholds(sketches(docs)))
-    rows = measured(docs)
+    rows = measured(docs, row=row)
     of = F.col("lang").cast("string").eqNullSafe(F.col("_lang")) & F.col("source").cast("string").eqNullSafe(F.col("_source"))
     rows = rows.join(checked(limits), of, "left")
     base = (F.col("_n_words") < 10) | (100 * F.col("_n_repeat_words") > 20 * F.col("_n_words"))
@@ -144,5 +145,10 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The documents that are kept, with the columns of docs."""
-    return judged(docs).where("_kept").select(*docs.columns)
+    """The documents that are kept, with the columns of docs, whatever their names.
+
+    The verdict is held against a row number, which is not deterministic: that keeps Catalyst from moving the filter
+    below the measures, where it would write each of them out anew wherever the verdict mentions it."""
+    rows = docs.select("text", "lang", "source", F.struct(*docs.columns).alias("_doc"))
+    rows = judged(rows, F.monotonically_increasing_id())
+    return rows.where(F.col("_kept") & (F.col("_row") >= 0)).select("_doc.*")
