@@ -206,6 +206,11 @@ def test_quality(spark, docs):
             len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(marked))
         assert r.base_failed == (len(w) < 10 or 100 * len(marked) > 20 * len(w))
     assert quality.keep_good(docs).columns == docs.columns
+    clash = docs.withColumns({c: F.lit(1) for c in ("_w", "_row", "_doc", "_n_words", "_kept", "_h")})
+    good = quality.keep_good(clash)
+    assert good.columns == clash.columns and {r._row for r in good.collect()} == {1}
+    kept = sorted(r.doc_id for r in quality.report(docs).where("kept").collect())
+    assert sorted(r.doc_id for r in good.collect()) == kept
 
 
 def test_passages(spark):
