@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from fieldloom.llm import shingles
 from fieldloom.llm.common import Scratch, bit_filter, checked, cut, log_size, passes, release
-from fieldloom.llm.components import components
+from fieldloom.llm.components import components, joined
 
 #: Similarity in percent, and fragments that the order of n-grams is cut into.
 PERCENT, FRAGMENTS = 80, 4
@@ -73,8 +73,9 @@ def merged_sketch(rows: DataFrame, log: int) -> np.ndarray:
     rows = rows.select("row", "counts", (F.monotonically_increasing_id() % 64).alias("part"))
     some = rows.groupBy("row", "part").applyInPandas(add, "row int, counts binary")
     out = np.zeros(1 << log, np.uint32)
-    for r in some.groupBy("row").applyInPandas(add, "row int, counts binary").toLocalIterator():
-        out[r["row"] * _ROW : (r["row"] + 1) * _ROW] = np.frombuffer(r["counts"], np.uint32)
+    rows = some.groupBy("row").applyInPandas(add, "row int, counts binary").toArrow()
+    for row, counts in zip(rows["row"].to_pylist(), rows["counts"], strict=True):
+        out[row * _ROW : (row + 1) * _ROW] = np.frombuffer(counts.as_buffer(), np.uint32)
     return out
 
 
@@ -229,9 +230,9 @@ def similar(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         pairs = least.select(F.col("c.cn").alias("a"), F.col("node").alias("b"), F.col("c.cs").alias("na"), F.col("n").alias("nb"))
         tested = scratch.keep(pairs.where(_near(percent)))
         edges = scratch.keep(linked(docs, tested, profiles, percent))
+        root = components(edges)
         turn = 0
         while True:
-            root = components(edges)
             at = rows.join(checked(root), "node", "left").select("token", "node", "n", F.coalesce("root", "node").alias("root"))
             at = scratch.keep(at)
             mixed = at.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("m"))
@@ -257,13 +258,12 @@ def similar(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
                 )
             pairs = pairs.where(_near(percent)).select("a", "b", "na", "nb").distinct()
             pairs = scratch.keep(pairs.join(tested, ["a", "b"], "left_anti").select("a", "b", "na", "nb"))
-            new = linked(docs, pairs, profiles, percent)
-            edges, tested = scratch.keep(edges.union(new)), scratch.keep(tested.union(pairs))
-            release(spark)
-            turn += 1
+            root = joined(root, scratch.keep(linked(docs, pairs, profiles, percent)))
             if last:
-                root = components(edges)
                 break
+            tested = scratch.keep(tested.union(pairs))
+            release(spark)
+            turn += 1
         out = nodes.join(checked(root), "node", "left")
         none = F.lit(None).cast("long")
         out = out.select("doc_id", F.when(F.col("n") > 0, F.col("node")).otherwise(none).alias("node"), F.col("n").alias("n_shingles"),

@@ -231,3 +231,42 @@ def test_pipeline(spark, tmp_path, docs):
         out = f(spark, stage, str(tmp_path))
         assert out.columns == stage.columns
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+
+
+def _joined_sets(edges):
+    at: dict[int, int] = {}
+
+    def top(x):
+        while at.setdefault(x, x) != x:
+            x = at[x]
+        return x
+
+    for a, b in edges:
+        at[top(a)] = top(b)
+    sets: dict[int, set[int]] = {}
+    for x in list(at):
+        sets.setdefault(top(x), set()).add(x)
+    return sorted(map(sorted, sets.values()))
+
+
+@pytest.mark.parametrize("kind", ["path", "star", "random", "empty"])
+def test_components_at_once_and_with_more_edges(spark, kind):
+    from fieldloom.llm.components import components, joined
+
+    draw = random.Random(7)
+    some = lambda n, top: [e for e in ((draw.randrange(top), draw.randrange(top)) for _ in range(n)) if e[0] != e[1]]
+    edges = {"path": [(i, i + 1) for i in range(200)], "star": [(500, i) for i in range(300)], "random": some(200, 300), "empty": []}[kind]
+    more = some(60, 600)
+    frame = lambda rows: spark.createDataFrame(rows, "a long, b long")
+
+    def sets(at):
+        out: dict[int, set[int]] = {}
+        rows = at.collect()
+        assert len({r.node for r in rows}) == len(rows)
+        for r in rows:
+            out.setdefault(r.root, set()).add(r.node)
+        return sorted(map(sorted, out.values()))
+
+    at = components(frame(edges))
+    assert sets(at) == _joined_sets(edges)
+    assert sets(joined(at, frame(more))) == _joined_sets(edges + more)
