@@ -222,6 +222,22 @@ def test_passages(spark):
         assert r.start <= 82 and r.end >= 138 and r.similarity >= 0.8
 
 
+def test_passages_between_middle_documents(spark):
+    draw = random.Random(11)
+    some = lambda n: [f"v{draw.randrange(900)}" for _ in range(n)]
+    rows = []
+    for g in range(8):
+        core = some(60)
+        loose = [[f"x{draw.randrange(900)}" if i % 8 == k else w for i, w in enumerate(core)] for k in (3, 6)]
+        for i, mid in ((1, loose[0]), (5, core), (7, core), (9, loose[1])):
+            rows.append((100 * g + i, " ".join(some(60) + mid + some(40))))
+    got = substring.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    for g in range(8):
+        for a, b in ((5, 7), (7, 5)):
+            mine = [r for r in got if (r.doc_id, r.other_id) == (100 * g + a, 100 * g + b)]
+            assert len({w for r in mine for w in range(max(60, r.start), min(120, r.end))}) >= 55, (g, a)
+
+
 def test_pipeline(spark, tmp_path, docs):
     import corpus_pipeline
 
