@@ -238,6 +238,23 @@ def test_passages_between_middle_documents(spark):
             assert len({w for r in mine for w in range(max(60, r.start), min(120, r.end))}) >= 55, (g, a)
 
 
+def test_recall_of_near_passages(spark):
+    draw = random.Random(23)
+    some = lambda n: [f"u{draw.randrange(900)}" for _ in range(n)]
+    rows, planted = [], set()
+    for g in range(150):
+        one = some(50)
+        two = one[:20] + [f"x{g}"] + one[21:]
+        shared, all_ = (op(sets(" ".join(one)), sets(" ".join(two))) for op in (set.__and__, set.__or__))
+        assert 80 * len(all_) <= 100 * len(shared) <= 85 * len(all_)
+        planted.add((2 * g, 2 * g + 1))
+        rows += [(2 * g + i, " ".join(some(60) + mid + some(40))) for i, mid in enumerate((one, two))]
+    got = substring.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    found = {(r.doc_id, r.other_id) for r in got}
+    assert found <= planted | {(b, a) for a, b in planted}
+    assert len(planted & found) >= 0.98 * len(planted), len(planted & found)
+
+
 def test_pipeline(spark, tmp_path, docs):
     import corpus_pipeline
 
