@@ -23,8 +23,8 @@ PATTERNS = {
 HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){12}", "phone": r"\+[0-9]"}
 #: A term is a run of so many letters or more; words are looked at within so many characters of a value.
 TERM, AROUND = r"\p{L}{3,}", 80
-#: A term gives a value away if it stands beside it in so many different texts, and tells more than this share of the
-#: value's information content.
+#: A term gives a value away if it tells more than this share of the value's information content; beside a value in
+#: fewer different texts than this the term counts as one text more frequent than it is.
 SUPPORT, SHARE = 5, 0.9
 
 
@@ -124,28 +124,35 @@ def disclosing(base: DataFrame, docs: DataFrame, support: int = SUPPORT, share:
 
     Counts are of different texts, so copies count once. With n(c) texts that hold a value c, n(t) a term t and n(c,t)
     both side by side, of N, PMI(c,t) = log2(n(c,t) N / (n(c) n(t))) is the information that t gives about c, and
-    IC(c) = log2(N / n(c)) what there is; t is disclosing if n(c,t) >= support and PMI >= share * IC for some c. Only
-    terms with that support are counted over the whole texts."""
+    IC(c) = log2(N / n(c)) what there is; t is disclosing if PMI >= share * IC for some c. Where n(c,t) < support, N + 1
+    and n(t) + 1 stand for N and n(t), so that in a small table no word is taken as rare for want of texts. c is each
+    value, and each kind as a whole. Terms are counted by weight, a copy of a text for its share of it."""
     rows = base.where("_mentions is not null").select("_h", F.explode("_mentions").alias("m"))
     rows = rows.select("_h", "m.entity", "m.terms")
+    kind = F.substring_index("entity", ":", 1)
+    rows = rows.unionByName(rows.withColumn("entity", kind))
     of_entity = rows.select("entity", "_h").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("nc"))
     pairs = rows.select("entity", F.explode("terms").alias("term"), "_h").distinct()
-    pairs = pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("nct")).where(F.col("nct") >= support)
+    pairs = pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("nct"))
     pairs = cut(pairs)
     if not pairs.limit(1).count():
         return None
-    wanted = checked(cut(pairs.select("term").distinct()))
+    copies = cut(base.groupBy("_h").agg(F.count(F.lit(1)).alias("_m")).where("_m > 1"))
     text = F.coalesce(F.col("text"), F.lit(""))
     terms = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)))
-    holds = docs.select(F.xxhash64(text).alias("_h"), F.explode(terms).alias("term")).join(wanted, "term", "left_semi")
-    holds = cut(holds.distinct())
-    of_term = holds.groupBy("term").agg(F.count(F.lit(1)).alias("nt"))
+    texts = docs.select(F.xxhash64(text).alias("_h"), terms.alias("terms"))
+    whole = texts.join(checked(copies), "_h", "left").select(F.explode("terms").alias("term"), (1 / F.coalesce("_m", F.lit(1))).alias("w"))
+    of_term = whole.groupBy("term").agg(F.round(F.sum("w")).alias("nt"))
     n = base.select("_h").distinct().count()
     pmi = F.log2(F.col("nct") * F.lit(float(n)) / (F.col("nc") * F.col("nt")))
     content = F.log2(F.lit(float(n)) / F.col("nc"))
-    told = pairs.join(of_entity, "entity").join(of_term, "term").where((content > 0) & (pmi >= share * content))
+    smooth = F.log2(F.col("nct") * F.lit(n + 1.0) / (F.col("nc") * (F.col("nt") + 1)))
+    enough = F.when(F.col("nct") >= support, pmi).otherwise(smooth) >= share * content
+    told = pairs.join(of_entity, "entity").join(of_term, "term").where((content > 0) & enough)
     told = cut(told.select("term").distinct())
-    return cut(holds.join(checked(told), "term", "left_semi")) if told.limit(1).count() else None
+    if not told.limit(1).count():
+        return None
+    return cut(texts.select("_h", F.explode("terms").alias("term")).join(checked(told), "term", "left_semi").distinct())
 
 
 def term_spans(docs: DataFrame, held: DataFrame) -> DataFrame:

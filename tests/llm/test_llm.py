@@ -66,6 +66,14 @@ def test_disclosing_term(spark):
     assert "term:4:13" in out[999].spans and out[999].n_email == 0 and out[100].n_term == 0
 
 
+def test_disclosing_term_of_a_rare_value(spark):
+    rows = [(i, f"w{i} x{i}") for i in range(1500)] + [(2000 + i, f"q{i} write to zebulon ann@corp.example") for i in range(3)]
+    rows += [(3000, "r1 Zebulon was here"), (3001, "one quillon bob@corp.example text"), (3002, "write to them")]
+    out = {r.doc_id: r for r in pii.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert "term:3:10" in out[3000].spans and out[3000].n_email == 0
+    assert "term:4:11" in out[3001].spans and out[2000].n_term and out[0].n_term == 0
+
+
 def test_mix(docs):
     rows = mixing.mix(docs).collect()
     assert len(rows) == len(ROWS)
