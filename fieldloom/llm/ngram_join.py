@@ -288,15 +288,13 @@ def classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """One document of each component, that with the smallest doc_id, with the columns of docs; documents without
-    words all stay. Of rows with the same doc_id in a component one stays, the first by text."""
-    rows = classes(docs, percent)
-    drop = cut(rows.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct())
-    out = docs.join(checked(drop), docs["doc_id"] == F.col("_gone"), "left_anti")
-    again = cut(rows.where("n_shingles > 0").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_again")))
-    if again.limit(1).count():
-        order = Window.partitionBy("_again").orderBy("text")
-        out = out.join(checked(again), out["doc_id"] == F.col("_again"), "left")
-        many = out.where("_again is not null").withColumn("_nth", F.row_number().over(order)).where("_nth = 1")
-        out = out.where("_again is null").select(*docs.columns).unionByName(many.select(*docs.columns))
-    return out
+    """One document of each component, that with the smallest doc_id, nulls last, and of these the first by text, with
+    the columns of docs; documents without words all stay. Rows are told apart by their text, not by their doc_id."""
+    key = F.xxhash64("text")
+    rows = similar(docs.select(key.alias("doc_id"), "text"), percent).where("root is not null").select(F.col("doc_id").alias("_key"), "root")
+    many = rows.groupBy("root").count().where("count > 1").select("root")
+    of = cut(rows.distinct().join(many, "root").select("_key", F.col("root").alias("_root")))
+    out = docs.withColumn("_text_key", key).join(checked(of), F.col("_text_key") == F.col("_key"), "left")
+    order = Window.partitionBy("_root").orderBy(F.col("doc_id").cast("long").asc_nulls_last(), "text")
+    first = out.where("_root is not null").withColumn("_nth", F.row_number().over(order)).where("_nth = 1")
+    return out.where("_root is null").select(*docs.columns).unionByName(first.select(*docs.columns))

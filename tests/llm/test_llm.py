@@ -170,6 +170,14 @@ def test_near_duplicates(spark, docs):
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [0, 1, 2, 3, 4, 8, 9, 10, 11, 12]
 
 
+def test_keep_first_of_each_component(spark):
+    other, third = prose(100), prose(100)
+    rows = [(3, BASE), (7, NEAR), (7, other), (8, prose(80)), (8, prose(80)), (None, third), (None, third + " end"), (None, None), (None, None), (9, BASE)]
+    kept = ngram_join.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = [rows[i] for i in (0, 2, 3, 4, 5, 7, 8)]
+    assert sorted(map(str, map(tuple, kept))) == sorted(map(str, want))
+
+
 def test_components(spark):
     n = 300
     edges = [(i, i + 1) for i in range(n)] + [(1000, 1000 + i) for i in range(1, 50)]
