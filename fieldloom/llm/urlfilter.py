@@ -56,24 +56,59 @@ def links_of(html: Column) -> Column:
     canonical = F.filter(tags, lambda t: t.rlike(r"(?is)\brel\s*=\s*[\"']?canonical\b"))
     canonical = F.transform(canonical, lambda t: F.regexp_extract(t, r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1))
     refresh = F.filter(tags, lambda t: t.rlike(r"(?is)http-equiv\s*=\s*[\"']?refresh\b"))
-    refresh = F.transform(refresh, lambda t: F.regexp_extract(t, r"(?is)url\s*=\s*[\"']?([^\"'\s>;]+)", 1))
+    refresh = F.transform(refresh, lambda t: F.regexp_extract(t, r"(?is)url\s*=\s*[\"']?((?:&#?\w+;|[^\"'\s>;])+)", 1))
     found = F.filter(F.concat(canonical, refresh), lambda t: t != "")
     return F.when(html.rlike(r"(?i)canonical|http-equiv"), found).otherwise(F.array().cast("array<string>"))
 
 
+def unescaped(text: Column) -> Column:
+    """text with the entities that a URL in markup has: amp, lt, gt, quot, apos, and ASCII characters by number."""
+    refs = F.array_distinct(F.regexp_extract_all(text, F.lit("&#(?:[0-9]{1,4}|[xX][0-9a-fA-F]{1,4});"), F.lit(0)))
+
+    def one(acc: Column, ref: Column) -> Column:
+        code = F.regexp_replace(ref, "[&#xX;]", "")
+        code = F.when(ref.rlike("[xX]"), F.conv(code, 16, 10)).otherwise(code).cast("int")
+        return F.when((code > 0) & (code < 128), F.replace(acc, ref, F.char(code))).otherwise(acc)
+
+    out = F.aggregate(refs, text, one)
+    for name, char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("amp", "&")):
+        out = F.replace(out, F.lit(f"&{name};"), F.lit(char))
+    return out
+
+
+def resolved(target: Column, url: Column) -> Column:
+    """A link's target as a URL, relative ones against the page's URL; what has a scheme stays as it is."""
+    base = F.concat(F.regexp_extract(url, "^(.*?)://", 1), F.lit("://"), host_of(url))
+    path, rest = F.regexp_extract(target, "^[^?#]*", 0), F.regexp_extract(target, "[?#].*$", 0)
+    here = F.regexp_replace(path_of(url), "[^/]*$", "")
+    path = F.when(path.startswith("/"), path).otherwise(F.concat(F.when(here == "", "/").otherwise(here), path))
+    parts = F.split(F.regexp_replace(path, r"/(\.\.?)$", "/$1/"), "/")
+
+    def step(acc: Column, part: Column) -> Column:
+        up = F.slice(acc, 1, F.greatest(F.lit(1), F.size(acc) - 1))
+        return F.when(part == ".", acc).when(part == "..", up).otherwise(F.concat(acc, F.array(part)))
+
+    plain = F.array_join(F.aggregate(F.slice(parts, 2, F.size(parts)), F.array(F.lit("")), step), "/")
+    query = F.regexp_extract(url, r"://[^?#]*(\?[^#]*)", 1)
+    return (
+        F.when(target.rlike("(?i)^[a-z][a-z0-9+.-]*:"), target)
+        .when(target.startswith("//"), F.concat(F.lit("http:"), target))
+        .when(target.startswith("?"), F.concat(base, path_of(url), rest))
+        .when(target.startswith("#"), F.concat(base, path_of(url), query))
+        .otherwise(F.concat(base, plain, rest))
+    )
+
+
 def edges_of(pages: DataFrame) -> DataFrame:
-    """a, b: keys of pages and of where their canonical link, refresh, or a URL in their query string leads."""
+    """a, b: keys of pages and of where their canonical link, refresh, or a URL in their query string leads. Links may
+    be relative to the page's URL; in a query string only what has '://' or a leading '/' counts as a URL."""
     url = F.col("url")
     carried = F.regexp_extract(url, r"[?&](?:url|target|redirect|dest|goto)=([^&#]+)", 1)
-    targets = F.concat(links_of(F.coalesce(F.col("html"), F.lit(""))), F.array(F.coalesce(F.try_url_decode(carried), F.lit(""))))
-    rows = pages.where(url.contains("://")).select(url, F.explode(targets).alias("t")).where("t <> ''")
-    base = F.concat(F.regexp_extract(url, "^(.*?)://", 1), F.lit("://"), host_of(url))
-    whole = (
-        F.when(F.col("t").startswith("//"), F.concat(F.lit("http:"), F.col("t")))
-        .when(F.col("t").startswith("/"), F.concat(base, F.col("t")))
-        .otherwise(F.col("t"))
-    )
-    return rows.select(key_of(url).alias("a"), key_of(whole).alias("b")).where("a <> b").distinct()
+    carried = F.coalesce(F.try_url_decode(carried), F.lit(""))
+    carried = F.when(carried.contains("://") | carried.startswith("/"), F.array(carried)).otherwise(F.array().cast("array<string>"))
+    links = F.transform(links_of(F.coalesce(F.col("html"), F.lit(""))), unescaped)
+    rows = pages.where(url.contains("://")).select(url, F.explode(F.concat(links, carried)).alias("t")).where("t <> ''")
+    return rows.select(key_of(url).alias("a"), key_of(resolved(F.col("t"), url)).alias("b")).where("a <> b").distinct()
 
 
 def judge(pages: DataFrame, rules=RULES) -> DataFrame:

@@ -210,6 +210,18 @@ def test_urls(spark):
     assert (got[7].host, got[7].path, got[7].rule) == ("www.example.org", "/en/1x", "example.org/en/1") and got[5].host == "" and got[2].rule is None
 
 
+def test_relative_targets(spark):
+    rows = [
+        (1, "http://x.com/de/1", '<link rel="canonical" href="../free/./a?x=1&amp;y=2">'), (2, "http://x.com/free/a?x=1&y=2", ""),
+        (3, "http://f.net/q?p=2", '<link rel="canonical" href="http://x.com/de/1">'), (4, "http://f.net/q?p=1", '<link rel="canonical" href="?p=2">'),
+        (5, "http://f.net/d/one.html", '<meta http-equiv=refresh content="0; url=two.html?a=1&amp;b=2">'), (6, "http://f.net/d/two.html?a=1&b=2", '<link rel=canonical href="/q?p=&#50;">'),
+        (7, "http://g.net", '<link rel=canonical href="page.html">'), (8, "http://g.net/page.html", '<link rel=canonical href="http://x.com/de/1">'),
+        (9, "http://h.net/a", '<link rel=canonical href="javascript:x">'), (10, "http://h.net/javascript:x", '<link rel=canonical href="http://x.com/de/1">'),
+    ]
+    got = {r.page_id: r.verdict for r in urlfilter.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {**dict.fromkeys(range(1, 9), "block"), 9: "allow", 10: "block"}
+
+
 def test_quality(spark, docs):
     got = {r.doc_id: r for r in quality.report(docs).collect()}
     for i, text in enumerate(TEXTS):
