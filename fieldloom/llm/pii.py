@@ -94,8 +94,10 @@ def _mentions() -> Column:
             value = F.substr(F.col("_text"), x["s"] + 1, x["e"] - x["s"])
             value = F.lower(value) if kind in ("email", "ip") else digits(value)
             low = F.greatest(F.lit(0), x["s"] - AROUND)
-            before = F.regexp_replace(F.substr(F.col("_text"), low + 1, x["s"] - low), r"^\S*\s", "")
-            after = F.regexp_replace(F.substr(F.col("_text"), x["e"] + 1, F.lit(AROUND)), r"\s\S*$", "")
+            before = F.substr(F.col("_text"), low + 1, x["s"] - low)
+            before = F.when(low > 0, F.regexp_replace(before, r"^\S*\s", "")).otherwise(before)
+            after = F.substr(F.col("_text"), x["e"] + 1, F.lit(AROUND))
+            after = F.when(x["e"] + AROUND < F.length("_text"), F.regexp_replace(after, r"\s\S*$", "")).otherwise(after)
             near = F.regexp_replace(F.concat_ws("\n", before, after), r"\S*[@0-9]\S*", " ")
             terms = F.array_distinct(F.regexp_extract_all(F.lower(near), F.lit(TERM), F.lit(0)))
             return F.struct(F.concat(F.lit(f"{kind}:"), value).alias("entity"), terms.alias("terms"))

@@ -74,6 +74,12 @@ def test_disclosing_term_of_a_rare_value(spark):
     assert "term:4:11" in out[3001].spans and out[2000].n_term and out[0].n_term == 0
 
 
+def test_words_at_the_rim_of_a_text(spark):
+    rows = [(1, "Smith a@b.example"), (2, "a@b.example Jones"), (3, "x" * 79 + "yz near a@b.example " + "z" * 90)]
+    base = pii.base_table(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id: r._mentions[0].terms for r in base.collect()} == {1: ["smith"], 2: ["jones"], 3: ["near"]}
+
+
 def test_mix(docs):
     rows = mixing.mix(docs).collect()
     assert len(rows) == len(ROWS)
