@@ -267,6 +267,15 @@ def c21_element_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return heads.select("page_id", T.normalize("title").alias("title"))
 
 
+@query()
+def c21b_first_heading(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first h1 of every page that has one, entities and inner markup included."""
+    from fieldloom.sources.elements import elements
+
+    heads = elements(table(spark, sf_dir, "pages"), ["h1"]).groupBy("page_id").agg(F.min_by("text", "node_index").alias("title"))
+    return heads.select("page_id", T.normalize("title").alias("title"))
+
+
 @query("SELECT user_id, event_id FROM events WHERE event_type = 'click' AND NOT EXISTS (SELECT 1 FROM events n WHERE n.user_id = events.user_id AND n.event_id = events.event_id + 1)")
 def c22_removed_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fieldloom.operators.candidates import removed
