@@ -7,22 +7,26 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.llm import shingles
-from fieldloom.llm.common import Scratch, bit_filter, checked, cut, log_size, passes, release
+from fieldloom.llm.common import Scratch, bit_filter, checked, cut, log_size, partitions, passes, release
 from fieldloom.llm.components import components, joined
 
 #: Similarity in percent, and fragments that the order of n-grams is cut into.
 PERCENT, FRAGMENTS = 80, 4
-#: 64-bit words of a set's profile.
-PROFILE = 32
-#: Counters of the sketch that orders n-grams by frequency, in each of its rows: between these powers of two.
-LEAST_LOG, MOST_LOG = 16, 24
+#: Bits of a set's profile for each n-gram, and the powers of two between which a profile has its bits.
+PROFILE, LEAST_BITS, MOST_BITS = 16, 11, 16
+#: Counters of the sketch that orders n-grams by frequency: between these powers of two.
+LEAST_LOG, MOST_LOG = 16, 20
 _ROW = 4096  # counters of a sketch row
-#: A round pairs every two components of a bucket only while that makes at most this many pairs per bucket row.
-FEW = 4
+#: Bits of a broadcast filter: up to this power of two. A fuller one lets more pass, which exact steps then remove.
+FILTER_LOG = 27
+#: Sets that are compared at a time.
+BLOCK = 2048
+#: Sets that a task remembers in order to read equal ones once.
+SEEN = 100_000
 
 
 def _signature(s: np.ndarray) -> int:
@@ -34,31 +38,52 @@ def _batch(columns: dict[str, object], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
 
 
+def _lists(parts: list[np.ndarray]) -> pa.ListArray:
+    """A list of 64-bit numbers for each of the arrays."""
+    ends = np.cumsum([0, *map(len, parts)], dtype=np.int32)
+    flat = np.concatenate([*parts, np.zeros(0, np.uint64)]).view(np.int64)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
+
+
+class _Seen:
+    """Tells whether a task had a set before; it forgets all now and then, so that it stays small."""
+
+    def __init__(self) -> None:
+        self.nodes: set[int] = set()
+
+    def __call__(self, node: int) -> bool:
+        if node in self.nodes:
+            return True
+        if len(self.nodes) >= SEEN:
+            self.nodes.clear()
+        self.nodes.add(node)
+        return False
+
+
 def summaries(docs: DataFrame, log: int) -> DataFrame:
-    """One pass over the texts: per document doc_id, node (a hash of its set of shingles) and n (its size); per task
-    also the rows of a sketch, how many documents' sets fall on each of 2^log counters."""
-    schema = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("row", pa.int32()), ("counts", pa.binary())])
+    """One pass over the texts: per document doc_id, key (a hash of the text), node (a hash of its set of shingles) and
+    n (its size); per task also the rows of a sketch, how many documents' sets fall on each of 2^log counters."""
+    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("row", pa.int32()), ("counts", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros(1 << log, np.uint32)
         for batch in batches:
             nodes, sizes = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
-            for i, s in shingles.each(batch.column(1)):
+            for i, s in shingles.each(batch.column(2)):
                 s = np.unique(s)
                 if len(s):
                     nodes[i], sizes[i] = _signature(s), len(s)
-                    sketch += np.bincount((s >> np.uint64(64 - log)).astype(np.int64), minlength=1 << log).astype(np.uint32) if len(s) > 1 << (log - 4) else 0
-                    if len(s) <= 1 << (log - 4):
-                        np.add.at(sketch, (s >> np.uint64(64 - log)).astype(np.int64), 1)
+                    np.add.at(sketch, (s >> np.uint64(64 - log)).astype(np.int64), 1)
             none = [None] * batch.num_rows
-            yield _batch({"doc_id": batch.column(0), "node": nodes, "n": sizes, "row": none, "counts": none}, schema)
+            yield _batch({"doc_id": batch.column(0), "key": batch.column(1), "node": nodes, "n": sizes, "row": none, "counts": none}, schema)
+        shingles.forget()
         rows = [r for r in range(0, len(sketch), _ROW) if sketch[r : r + _ROW].any()]
         if rows:
             none = [None] * len(rows)
             parts = [sketch[r : r + _ROW].tobytes() for r in rows]
-            yield _batch({"doc_id": none, "node": none, "n": none, "row": [r // _ROW for r in rows], "counts": parts}, schema)
+            yield _batch({"doc_id": none, "key": none, "node": none, "n": none, "row": [r // _ROW for r in rows], "counts": parts}, schema)
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, node long, n long, row int, counts binary")
+    return docs.mapInArrow(run, "doc_id long, key long, node long, n long, row int, counts binary")
 
 
 def merged_sketch(rows: DataFrame, log: int) -> np.ndarray:
@@ -79,108 +104,240 @@ def merged_sketch(rows: DataFrame, log: int) -> np.ndarray:
     return out
 
 
+def places(s: np.ndarray, sketch: np.ndarray) -> np.ndarray:
+    """The n-grams' places in the global order: by the sketch's count, and then by hash."""
+    log = len(sketch).bit_length() - 1
+    often = sketch[(s >> np.uint64(64 - log)).astype(np.int64)].astype(np.uint64)
+    return often << np.uint64(32) | s >> np.uint64(32)
+
+
+def cuts(sketch: np.ndarray, fragments: int = FRAGMENTS) -> np.ndarray:
+    """The places at which the global order is cut, so that about as many occurrences of n-grams fall on each fragment.
+    A counter's n-grams follow each other but for other counters of its count, among which they are mixed by hash."""
+    count = np.sort(sketch.astype(np.uint64))
+    total = np.cumsum(count)
+    out = []
+    for i in range(1, fragments):
+        want = total[-1] * np.uint64(i) // np.uint64(fragments)
+        c = count[np.searchsorted(total, want)]
+        first, last = np.searchsorted(count, [c, c + np.uint64(1)])
+        before = total[first - 1] if first else np.uint64(0)
+        share = float(want - before) / max(1.0, float(total[last - 1] - before))
+        out.append(int(c) << 32 | min((1 << 32) - 1, int(share * (1 << 32))))
+    return np.array(out, np.uint64)
+
+
 def prefix_size(n: int, percent: int = PERCENT) -> int:
     """Of two sets that overlap enough, the first so many n-grams of each, in any one order, have one in common."""
     return n - -(-percent * n // 100) + 1
 
 
-def outline(s: np.ndarray) -> np.ndarray:
-    """A set's profile, in which every n-gram sets the bit of its slot."""
-    slot = (shingles.mix(s) % np.uint64(64 * PROFILE)).astype(np.int64)
-    profile = np.zeros(PROFILE, np.uint64)
-    np.bitwise_or.at(profile, slot >> 6, np.uint64(1) << (slot & 63).astype(np.uint64))
-    return profile.view(np.int64)
-
-
-def prefixes(docs: DataFrame, sketch, log: int, bits=None) -> DataFrame:
-    """token, node, n: the first n-grams of each set in the global order, which is by the sketch's count and then by
-    hash; each set once a task. With `bits` only tokens that have their bit, and with each set's first one its
-    profile."""
-    fields = [("token", pa.int64()), ("node", pa.int64()), ("n", pa.int64())]
-    schema = pa.schema(fields + [("profile", pa.list_(pa.int64()))] * (bits is not None))
+def prefixes(docs: DataFrame, sketch, percent: int = PERCENT) -> DataFrame:
+    """node, n, tokens: the first n-grams of each set in the global order; each set about once a task."""
+    schema = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("tokens", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, keep = sketch.value, bits.value if bits is not None else None
-        seen: set[int] = set()
+        counts, seen = sketch.value, _Seen()
         for batch in batches:
-            tokens, nodes, sizes, outlines = [], [], [], []
+            nodes, sizes, tokens = [], [], []
             for _, s in shingles.each(batch.column(0)):
                 s = np.unique(s)
-                node = _signature(s) if len(s) else None
-                if node is None or node in seen:
+                if not len(s) or seen(node := _signature(s)):
                     continue
-                seen.add(node)
-                size = len(s)
-                often = counts[(s >> np.uint64(64 - log)).astype(np.int64)].astype(np.uint64)
-                order = np.argsort(often << np.uint64(32) | s >> np.uint64(32), kind="stable")
-                whole, s = s, s[order[: prefix_size(size)]]
-                if keep is not None:
-                    s = s[passes(keep, s)]
-                if len(s):
-                    if keep is not None:
-                        outlines += [outline(whole)] + [None] * (len(s) - 1)
-                    tokens.append(s)
-                    nodes.append(np.full(len(s), node, np.int64))
-                    sizes.append(np.full(len(s), size, np.int64))
-            if tokens:
-                tokens = np.concatenate(tokens).view(np.int64)
-                cols = {"token": tokens, "node": np.concatenate(nodes), "n": np.concatenate(sizes), "profile": outlines}
-                yield _batch(cols, schema)
+                size = prefix_size(len(s), percent)
+                order = np.argpartition(places(s, counts), size - 1)[:size] if size < len(s) else slice(None)
+                nodes.append(node)
+                sizes.append(len(s))
+                tokens.append(s[order])
+            if nodes:
+                yield _batch({"node": nodes, "n": sizes, "tokens": _lists(tokens)}, schema)
+        shingles.forget()
 
-    kind = "token long, node long, n long" + ", profile array<long>" * (bits is not None)
-    return docs.select("text").mapInArrow(run, kind)
+    return docs.select("text").mapInArrow(run, "node long, n long, tokens array<long>")
 
 
-def segments(docs: DataFrame, bits, fragments: int = FRAGMENTS) -> DataFrame:
-    """node, fragment, part: the sets that have their bit, cut by the n-grams' order into fragments."""
-    schema = pa.schema([("node", pa.int64()), ("fragment", pa.int32()), ("part", pa.list_(pa.int64()))])
+def shared_tokens(sets: DataFrame, bits) -> DataFrame:
+    """token, node, n of the prefixes' n-grams that have their bit."""
+    names = ["token", "node", "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep = bits.value
-        seen: set[int] = set()
-        cuts = np.array([(i << 64) // fragments for i in range(1, fragments)], np.uint64)
         for batch in batches:
-            nodes, which, parts = [], [], []
-            for _, s in shingles.each(batch.column(0)):
+            lists = batch.column(2)
+            tokens = lists.flatten().to_numpy()
+            of = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+            some = passes(keep, tokens.view(np.uint64))
+            of = of[some]
+            node, n = (batch.column(i).to_numpy()[of] for i in (0, 1))
+            if len(of):
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (tokens[some], node, n)], names)
+
+    return sets.mapInArrow(run, "token long, node long, n long")
+
+
+def outline(s: np.ndarray) -> bytes:
+    """A set's profile, in which every n-gram sets the bit of its slot; its size is a power of two and goes with that
+    of the set. The profile of half the size has the bits of both halves."""
+    log = min(MOST_BITS, max(LEAST_BITS, (PROFILE * len(s) - 1).bit_length()))
+    slot = (shingles.mix(s) & np.uint64((1 << log) - 1)).astype(np.int64)
+    bits = np.zeros(1 << log, np.uint8)
+    bits[slot] = 1
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def segments(docs: DataFrame, bits, sketch, at: np.ndarray) -> DataFrame:
+    """node, n, profile and fragment -1, and node, fragment, part: the sets of texts whose key has its bit, cut into
+    fragments at the given places of the global order."""
+    schema = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("profile", pa.binary()), ("fragment", pa.int32()), ("part", pa.list_(pa.int64()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep, counts, seen = bits.value, sketch.value, _Seen()
+        for batch in batches:
+            some = np.flatnonzero(passes(keep, batch.column(0).to_numpy().view(np.uint64)))
+            rows: list[tuple] = []
+            size = 0
+            for _, s in shingles.each(batch.column(1).take(pa.array(some))):
                 s = np.unique(s)
-                node = _signature(s) if len(s) else None
-                if node is None or node in seen or not passes(keep, np.array([node]).view(np.uint64))[0]:
+                if not len(s) or seen(node := _signature(s)):
                     continue
-                seen.add(node)
-                for i, part in enumerate(np.split(s, np.searchsorted(s, cuts))):
-                    if len(part):
-                        nodes.append(node)
-                        which.append(i)
-                        parts.append(part.view(np.int64))
-                if len(nodes) >= 4096:
-                    yield _batch({"node": nodes, "fragment": which, "part": parts}, schema)
-                    nodes, which, parts = [], [], []
-            if nodes:
-                yield _batch({"node": nodes, "fragment": which, "part": parts}, schema)
+                which = np.searchsorted(at, places(s, counts), "right")
+                rows.append((node, len(s), outline(s), -1, np.zeros(0, np.uint64)))
+                rows += [(node, len(s), None, i, part) for i in range(len(at) + 1) if len(part := s[which == i])]
+                size += len(s)
+                if size >= 1 << 20:
+                    yield _rows(rows)
+                    rows, size = [], 0
+            if rows:
+                yield _rows(rows)
+        shingles.forget()
+
+    def _rows(rows: list[tuple]) -> pa.RecordBatch:
+        node, n, profile, fragment, part = zip(*rows, strict=True)
+        return _batch({"node": node, "n": n, "profile": profile, "fragment": fragment, "part": _lists(list(part))}, schema)
+
+    kind = "node long, n long, profile binary, fragment int, part array<long>"
+    return docs.select("key", "text").mapInArrow(run, kind)
+
+
+class Bounds:
+    """Sets by their profiles. Every bit that one set has and the other lacks is an n-gram that the other lacks, so
+    their overlap is at most what is left of either set."""
+
+    def __init__(self, sizes: np.ndarray, profiles: list[bytes], percent: int):
+        self.n, self.percent = sizes, percent
+        self.width = np.array([len(p) for p in profiles])
+        self.by: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for w in np.unique(self.width):
+            at = np.flatnonzero(self.width == w)
+            rows = np.frombuffer(b"".join(profiles[i] for i in at), np.uint64).reshape(len(at), -1)
+            self.by[int(w)] = at, rows, np.bitwise_count(rows).sum(1, dtype=np.int64)
+        self.place = np.zeros(len(sizes), np.int64)
+        for at, _, _ in self.by.values():
+            self.place[at] = np.arange(len(at))
+
+    @staticmethod
+    def _folded(rows: np.ndarray, words: int) -> np.ndarray:
+        while rows.shape[-1] > words:
+            half = rows.shape[-1] // 2
+            rows = rows[..., :half] | rows[..., half:]
+        return rows
+
+    def near(self, i: int) -> np.ndarray:
+        """Which sets the profiles do not rule out as similar to set i."""
+        out = np.zeros(len(self.n), bool)
+        mine = self.by[int(self.width[i])][1][self.place[i]]
+        for w, (at, rows, bits) in self.by.items():
+            sizes = self.n[at]
+            fit = 100 * np.minimum(sizes, self.n[i]) >= self.percent * np.maximum(sizes, self.n[i])
+            if not fit.any():
+                continue
+            at, rows, bits, sizes = at[fit], rows[fit], bits[fit], sizes[fit]
+            words = min(rows.shape[1], len(mine))
+            one = self._folded(mine, words)
+            if rows.shape[1] > words:
+                rows = self._folded(rows, words)
+                bits = np.bitwise_count(rows).sum(1, dtype=np.int64)
+            both = np.bitwise_count(rows & one).sum(1, dtype=np.int64)
+            most = np.minimum(self.n[i] - (np.bitwise_count(one).sum(dtype=np.int64) - both), sizes - (bits - both))
+            out[at] = 100 * most >= self.percent * (self.n[i] + sizes - most)
+        return out
+
+
+def candidates(sizes: np.ndarray, profiles: list[bytes], root: np.ndarray, percent: int, every: bool) -> list[tuple[int, int]]:
+    """Pairs of sets of different roots that the profiles leave possible: all of them with `every`, else a forest of
+    them that joins whatever all of them would. Sets of the most frequent root are only found by others."""
+    bounds = Bounds(sizes, profiles, percent)
+    roots, root, many = np.unique(root, return_inverse=True, return_counts=True)
+    large, out = int(np.argmax(many)), []
+    if len(roots) < 2:
+        return out
+    if every:
+        for i in np.flatnonzero(root != large):
+            near = bounds.near(i) & (root != root[i]) & ((root == large) | (np.arange(len(root)) > i))
+            out += [(int(i), int(j)) for j in np.flatnonzero(near)]
+        return out
+    met = np.zeros(len(roots), bool)
+    for start in range(len(roots)):
+        if start == large or met[start]:
+            continue
+        met[start], todo = True, np.flatnonzero(root == start).tolist()
+        while todo:
+            i = todo.pop()
+            near = bounds.near(i) & (~met[root])
+            for j in np.flatnonzero(near):
+                if not met[root[j]]:
+                    met[root[j]] = True
+                    out.append((int(i), int(j)))
+                    if root[j] != large:
+                        todo += np.flatnonzero(root == root[j]).tolist()
+        met[large] = False  # each tree may reach it
+    return out
 
-    return docs.select("text").mapInArrow(run, "node long, fragment int, part array<long>")
 
+def possible(rows: DataFrame, profiles: DataFrame, percent: int, every: bool) -> DataFrame:
+    """a, b, na, nb: candidate pairs (see candidates()) in the buckets of rows (token, node, n, root), which hold nodes
+    of several roots each. A bucket is dealt into blocks of about BLOCK nodes; every two of its blocks are one group."""
+    m = cut(rows.groupBy("token").agg(F.count(F.lit(1)).alias("m")))
+    rows = rows.join(checked(m), "token").withColumn("k", F.expr(f"cast((m + {BLOCK - 1}) div {BLOCK} as int)"))
+    rows = rows.withColumn("x", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
+    rows = rows.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    rows = rows.select("token", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), "node", "n", "root")
+    rows = rows.join(checked(profiles, 1 << 14), "node")  # some hundred bytes each
+    names, kinds = ["a", "b", "na", "nb"], [pa.int64()] * 4
 
-def possible(pairs: DataFrame, profiles: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The pairs that their profiles do not rule out: every bit that one set has and the other lacks is an n-gram that
-    the other lacks, so the overlap is at most what is left of either set."""
-    of = lambda k: profiles.select(F.col("node").alias(k), F.col("profile").alias(f"p{k}"))
-    both = pairs.join(of("b"), "b").join(of("a"), "a")
-    lacks = lambda x, y: F.aggregate(
-        F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q)))), F.lit(0), lambda t, v: t + v
-    )
-    both = both.withColumn("o", F.least(F.col("na") - lacks("pa", "pb"), F.col("nb") - lacks("pb", "pa")))
-    return both.where(f"100 * o >= {percent} * (na + nb - o)").select("a", "b", "na", "nb")
-
-
-def linked(docs: DataFrame, pairs: DataFrame, profiles: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The pairs (a, b, na, nb) that are similar. Only sets of pairs that may be are cut into fragments; each
-    fragment's overlap is counted by itself, and a pair's sum over the fragments decides."""
-    pairs = cut(possible(pairs, profiles, percent))
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    n = nodes.count()
-    bits = docs.sparkSession.sparkContext.broadcast(bit_filter(nodes, "node", log_size(n, LEAST_LOG, MOST_LOG) + 3))
-    parts = segments(docs, bits).dropDuplicates(["node", "fragment"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            key = np.stack([table.column(c).to_numpy() for c in ("token", "i", "j")], axis=1)
+            node, n, root = (table.column(c).to_numpy() for c in ("node", "n", "root"))
+            edge = np.flatnonzero(np.any(key[1:] != key[:-1], axis=1)) + 1
+            out: list[np.ndarray] = []
+            for first, last in zip([0, *edge], [*edge, len(key)], strict=True):
+                part = slice(first, last)
+                profile = table.column("profile").slice(first, last - first).to_pylist()
+                pairs = np.array(candidates(n[part], profile, root[part], percent, every), np.int64).reshape(-1, 2) + first
+                pairs = np.where((node[pairs[:, :1]] < node[pairs[:, 1:]]), pairs, pairs[:, ::-1])
+                out.append(np.concatenate([node[pairs], n[pairs]], axis=1))
+            cols = np.concatenate([*out, np.zeros((0, 4), np.int64)]).T
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
+
+        rest = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            rest = pa.concat_tables([rest, table]) if rest is not None else table
+            key = np.stack([rest.column(c).to_numpy() for c in ("token", "i", "j")], axis=1)
+            if len(key) and (last := int(np.argmax(np.all(key == key[-1], axis=1)))):
+                yield from found(rest.slice(0, last))
+                rest = rest.slice(last)
+        if rest is not None and rest.num_rows:
+            yield from found(rest)
+
+    dealt = rows.repartition(partitions(rows.sparkSession), "token", "i", "j").sortWithinPartitions("token", "i", "j")
+    return dealt.select("token", "i", "j", "node", "n", "root", "profile").mapInArrow(run, "a long, b long, na long, nb long").distinct()
+
+
+def linked(parts: DataFrame, pairs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The pairs (a, b, na, nb) that are similar: each fragment's overlap is counted by itself, and a pair's sum over
+    the fragments decides."""
     left = parts.select(F.col("node").alias("b"), "fragment", F.col("part").alias("pb"))
     right = parts.select(F.col("node").alias("a"), "fragment", F.col("part").alias("pa"))
     both = pairs.join(left, "b").join(right, ["a", "fragment"])
@@ -193,82 +350,96 @@ def _near(percent: int) -> str:
     return f"100 * least(na, nb) >= {percent} * greatest(na, nb)"
 
 
+def first_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """a, b, na, nb: each node with one other that it shares a bucket with, the one in most buckets: of a group of near
+    copies that is the one least changed."""
+    known = cut(rows.groupBy("node").agg(F.count(F.lit(1)).alias("k")))
+    rows = rows.join(checked(known), "node")
+    centre = cut(rows.groupBy("token").agg(F.max(F.struct("k", "node", "n")).alias("c")))
+    one = rows.join(checked(centre), "token").where("node <> c.node").groupBy("node", "n").agg(F.max("c").alias("c"))
+    first = F.col("node") < F.col("c.node")
+    pairs = one.select(
+        F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b"),
+        F.when(first, F.col("n")).otherwise(F.col("c.n")).alias("na"), F.when(first, F.col("c.n")).otherwise(F.col("n")).alias("nb"),
+    )
+    return pairs.where(_near(percent)).distinct()
+
+
+def buckets(sets: DataFrame, spark, log: int) -> DataFrame:
+    """token, node, n: the buckets of nodes that share an n-gram of their prefixes, one of those with equal nodes.
+
+    What only one node has is left out by a filter of the n-grams of two nodes at least, whose false ones a count of
+    the rows that are left removes."""
+    short = F.shiftright("node", 24)  # 40 bits tell nodes apart here
+    flat = sets.select(F.explode("tokens").alias("token"), short.alias("node"))
+    twice = flat.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi")
+    bits = spark.sparkContext.broadcast(bit_filter(twice, "token", log))
+    with Scratch(spark) as scratch:
+        rows = scratch.keep(shared_tokens(sets, bits).distinct())
+        hashed = F.xxhash64("node")
+        of = rows.groupBy("token").agg(
+            F.count(F.lit(1)).alias("m"), F.bit_xor(hashed).alias("s"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("t")
+        )
+        one = cut(of.where("m > 1").groupBy("m", "s", "t").agg(F.min("token").alias("token")).select("token"))
+        return cut(rows.join(checked(one), "token"))
+
+
 def similar(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """doc_id, node, n_shingles, root: each document's class of equal sets and the root of the component that links
-    between classes make; root is null for a document without shingles.
-
-    Documents with equal sets are one node, whatever their number. Two similar sets share one of the first fifth of
-    their n-grams in any global order; the order here puts n-grams that a sketch over all documents counts often last,
-    so buckets of equal first n-grams are small unless their sets are close. What only one node has is left out by a
-    first aggregation. Rounds then test pairs: first each node with the least node it shares a bucket with, then in
-    buckets that still hold several components each node with one chosen node, and last, once few are left, every two
-    nodes of different components. No pair that could join two components stays untested, and a large group of near
-    copies costs about one pair a node and not the square."""
+    """doc_id, key, node, n_shingles, root: each document's class of equal sets and the root of the component that
+    links between classes make; root is null for a document without shingles. docs has doc_id, key and text.
+
+    Documents with equal sets are one node, whatever their number. N-grams have one global order, by their count in a
+    sketch over all documents, frequent ones last, and then by hash. Two similar sets share one of the first fifth of
+    their n-grams, so only nodes that share a bucket of these are compared. The order is cut into fragments; a
+    candidate pair's overlap is counted in each fragment by itself and summed.
+
+    First each node is paired with the node of its buckets that is in most of them. Buckets that then still hold
+    several components are searched twice, in blocks, by profiles that rule out most pairs: for a forest that joins
+    what is possible, and, after that is settled, for all possible pairs of different components. So no pair that could
+    join two components stays untested, and a large group of near copies costs few pairs a node."""
     spark = docs.sparkSession
     share = spark.sparkContext.broadcast
-    log = log_size(docs.count(), LEAST_LOG, MOST_LOG)
+    n = docs.count()
+    log = log_size(n, LEAST_LOG, MOST_LOG)
     with Scratch(spark) as scratch:
-        summary = scratch.keep(summaries(docs, log))
-        nodes = summary.where("n is not null").select("doc_id", "node", "n")
-        sketch = share(merged_sketch(summary.where("counts is not null"), log))
-        # tokens of two nodes at least; 40 bits of a node tell nodes apart here
-        short = F.shiftright("node", 24)
-        twice = prefixes(docs, sketch, log).groupBy("token").agg(F.min(short).alias("lo"), F.max(short).alias("hi"))
-        bits = bit_filter(twice.where("lo <> hi"), "token", min(27, log + 8))
-        del twice
+        summary = scratch.keep(summaries(docs.select("doc_id", "key", "text"), log))
+        nodes = summary.where("n is not null").select("doc_id", "key", "node", "n")
+        order = merged_sketch(summary.where("counts is not null"), log)
+        sketch = share(order)
+        with Scratch(spark) as first:
+            rows = buckets(first.keep(prefixes(docs, sketch, percent)), spark, log_size(n, LEAST_LOG, FILTER_LOG - 8) + 8)
         release(spark)
-        sets = scratch.keep(prefixes(docs, sketch, log, share(bits)))
-        profiles = sets.where("profile is not null").dropDuplicates(["node"]).select("node", "profile")
-        rows = scratch.keep(sets.select("token", "node", "n").distinct())
-        firsts = rows.groupBy("token").agg(F.min(F.struct("node", "n")).alias("c"), F.max("node").alias("hi"))
-        firsts = firsts.where("c.node <> hi").select("token", F.col("c.node").alias("cn"), F.col("c.n").alias("cs"))
-        rows = scratch.keep(rows.join(checked(firsts), "token"))
-        profiles = scratch.keep(profiles.join(checked(rows.select("node").distinct()), "node", "left_semi"))
+        wanted = cut(rows.select("node").distinct())
+        texts = nodes.join(checked(wanted), "node", "left_semi").select("key").distinct()
+        bits = share(bit_filter(texts, "key", log_size(n, LEAST_LOG, FILTER_LOG - 3) + 3))
+        sets = scratch.keep(segments(docs, bits, sketch, cuts(order)).join(checked(wanted), "node", "left_semi"))
+        profiles = scratch.keep(sets.where("fragment < 0").dropDuplicates(["node"]).select("node", "profile"))
+        parts = scratch.keep(sets.where("fragment >= 0").dropDuplicates(["node", "fragment"]).select("node", "fragment", "part"))
         release(spark)
 
-        least = rows.where("node <> cn").groupBy("node", "n").agg(F.min(F.struct("cn", "cs")).alias("c"))
-        pairs = least.select(F.col("c.cn").alias("a"), F.col("node").alias("b"), F.col("c.cs").alias("na"), F.col("n").alias("nb"))
-        tested = scratch.keep(pairs.where(_near(percent)))
-        edges = scratch.keep(linked(docs, tested, profiles, percent))
-        root = components(edges)
-        turn = 0
-        while True:
+        tested = scratch.keep(first_pairs(rows, percent))
+        root = components(linked(parts, tested, percent))
+        for every in (False, True):
             at = rows.join(checked(root), "node", "left").select("token", "node", "n", F.coalesce("root", "node").alias("root"))
-            at = scratch.keep(at)
-            mixed = at.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("m"))
-            mixed = mixed.where("r0 <> r1").drop("r0", "r1")
-            open_ = scratch.keep(at.join(checked(mixed), "token"))
-            same = open_.groupBy("token", "root").agg(F.count(F.lit(1)).alias("k"))
-            want = same.groupBy("token").agg((F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))).alias("p"))
-            want, have = want.select(F.coalesce(F.sum("p") / 2, F.lit(0))).first()[0], open_.count()
-            if not have:
-                break
-            last = want <= FEW * have or turn >= 4
-            if last:
-                other = open_.select("token", F.col("node").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
-                mine = open_.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), "root")
-                pairs = other.join(mine, "token").where("a < b and ra <> root")
-            else:
-                by = F.struct(F.xxhash64(F.lit(turn), "token", "root", "node").alias("h"), "node", "n", "root")
-                centre = open_.groupBy("token").agg(F.min(by).alias("c"))
-                pairs = open_.join(checked(centre), "token").where("root <> c.root").select(
-                    F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b"),
-                    F.when(F.col("node") < F.col("c.node"), F.col("n")).otherwise(F.col("c.n")).alias("na"),
-                    F.when(F.col("node") < F.col("c.node"), F.col("c.n")).otherwise(F.col("n")).alias("nb"),
-                )
-            pairs = pairs.where(_near(percent)).select("a", "b", "na", "nb").distinct()
+            mixed = at.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("token")
+            open_ = cut(at.join(checked(cut(mixed)), "token", "left_semi"))
+            pairs = possible(open_, profiles, percent, every)
             pairs = scratch.keep(pairs.join(tested, ["a", "b"], "left_anti").select("a", "b", "na", "nb"))
-            root = joined(root, scratch.keep(linked(docs, pairs, profiles, percent)))
-            if last:
-                break
-            tested = scratch.keep(tested.union(pairs))
+            root = joined(root, cut(linked(parts, pairs, percent)))
+            tested = tested.union(pairs)
             release(spark)
-            turn += 1
         out = nodes.join(checked(root), "node", "left")
         none = F.lit(None).cast("long")
-        out = out.select("doc_id", F.when(F.col("n") > 0, F.col("node")).otherwise(none).alias("node"), F.col("n").alias("n_shingles"),
-                         F.when(F.col("n") > 0, F.coalesce("root", "node")).otherwise(none).alias("root"))
-        return cut(out)
+        return cut(
+            out.select(
+                "doc_id", "key", F.when(F.col("n") > 0, F.col("node")).otherwise(none).alias("node"), F.col("n").alias("n_shingles"),
+                F.when(F.col("n") > 0, F.coalesce("root", "node")).otherwise(none).alias("root"),
+            )
+        )
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), "text")
 
 
 def classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -277,9 +448,10 @@ def classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     Words are the runs of anything but the six ASCII white spaces, A to Z in lower case; a set holds the shingles of
     five words, or the whole of a shorter text. A null or empty text has no shingles and stands alone, as component of
     its own id. Repeated rows are in one component; a null doc_id takes part, and its component is named by the others'
-    ids, null if there are none; an empty table gives an empty result; columns other than doc_id and text are not
-    read. Shingles and sets are compared by 64-bit hash."""
-    rows = similar(docs, percent)
+    ids, null if there are none; a very long text is one set like any other, held by one task; pairs of exactly the
+    threshold are linked; an empty table gives an empty result; columns other than doc_id and text are not read, so
+    their names cannot clash. Shingles and sets are compared by 64-bit hash."""
+    rows = similar(_keyed(docs), percent)
     least = rows.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("m"))
     least = least.where("m > 1").drop("m")
     return rows.join(checked(cut(least)), "root", "left").select(
@@ -289,12 +461,15 @@ def classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 def keep_first(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """One document of each component, that with the smallest doc_id, nulls last, and of these the first by text, with
-    the columns of docs; documents without words all stay. Rows are told apart by their text, not by their doc_id."""
-    key = F.xxhash64("text")
-    rows = similar(docs.select(key.alias("doc_id"), "text"), percent).where("root is not null").select(F.col("doc_id").alias("_key"), "root")
-    many = rows.groupBy("root").count().where("count > 1").select("root")
-    of = cut(rows.distinct().join(many, "root").select("_key", F.col("root").alias("_root")))
-    out = docs.withColumn("_text_key", key).join(checked(of), F.col("_text_key") == F.col("_key"), "left")
-    order = Window.partitionBy("_root").orderBy(F.col("doc_id").cast("long").asc_nulls_last(), "text")
-    first = out.where("_root is not null").withColumn("_nth", F.row_number().over(order)).where("_nth = 1")
-    return out.where("_root is null").select(*docs.columns).unionByName(first.select(*docs.columns))
+    the columns of docs, whatever their names; documents without words all stay, those with a null or empty text too.
+    Rows are told apart by their text, not by their doc_id; of repeated rows one stays; a very long text is a set like
+    any other; an empty table gives an empty result."""
+    rows = similar(_keyed(docs), percent).where("root is not null").select("doc_id", "key", "root")
+    rank = F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id"))
+    first = rows.groupBy("root").agg(rank.alias("first"), F.count(F.lit(1)).alias("m")).where("m > 1")
+    first = cut(first.select("root", F.col("first.doc_id").alias("first")))
+    of = cut(rows.select("key", "root").distinct().join(checked(first), "root"))
+    out = docs.select(F.struct(*docs.columns).alias("doc"), F.xxhash64("text").alias("key")).join(checked(of), "key", "left")
+    many = out.where("root is not null").where(F.col("doc.doc_id").cast("long").eqNullSafe(F.col("first")))
+    one = many.groupBy("root").agg(F.min_by("doc", "doc.text").alias("doc"))
+    return out.where("root is null").select("doc.*").unionByName(one.select("doc.*"))

@@ -42,6 +42,11 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1][:n]
 
 
+def forget() -> None:
+    """Lets go of the powers that a long text needed; a worker outlives its task."""
+    _powers[:] = [p[: CHUNK + 1].copy() if len(p) > CHUNK + 1 else p for p in _powers]
+
+
 def word_hashes(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The hash of every word of the texts that lie in `data` between the `bounds`, and the index of each text's first
     word, with the number of words at the end. A word's hash is of its bytes and places, from differences of one
