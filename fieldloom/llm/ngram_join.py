@@ -16,6 +16,8 @@ from fieldloom.llm.components import components, joined
 
 #: Similarity in percent, and fragments that the order of n-grams is cut into.
 PERCENT, FRAGMENTS = 80, 4
+#: Every so many n-grams of a set, its prefix is longer by one, and two similar sets' prefixes have one more in common.
+MORE = 40
 #: Bits of a set's profile for each n-gram, and the powers of two between which a profile has its bits.
 PROFILE, LEAST_BITS, MOST_BITS = 16, 11, 16
 #: Counters of the sketch that orders n-grams by frequency: between these powers of two.
@@ -128,8 +130,9 @@ def cuts(sketch: np.ndarray, fragments: int = FRAGMENTS) -> np.ndarray:
 
 
 def prefix_size(n: int, percent: int = PERCENT) -> int:
-    """Of two sets that overlap enough, the first so many n-grams of each, in any one order, have one in common."""
-    return n - -(-percent * n // 100) + 1
+    """How many n-grams of a set, first in any one order, are its prefix. Similar sets of sizes n and m, n the smaller,
+    have max(1, n // MORE) n-grams of their prefixes in common."""
+    return min(n, n - -(-percent * n // 100) + max(1, n // MORE))
 
 
 def prefixes(docs: DataFrame, sketch, percent: int = PERCENT) -> DataFrame:
@@ -186,8 +189,8 @@ def outline(s: np.ndarray) -> bytes:
 
 
 def segments(docs: DataFrame, bits, sketch, at: np.ndarray) -> DataFrame:
-    """node, n, profile and fragment -1, and node, fragment, part: the sets of texts whose key has its bit, cut into
-    fragments at the given places of the global order."""
+    """node, n, profile and fragment -1, and node, fragment, part: the sets of documents whose name has its bit, cut
+    into fragments at the given places of the global order."""
     schema = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("profile", pa.binary()), ("fragment", pa.int32()), ("part", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,7 +219,12 @@ def segments(docs: DataFrame, bits, sketch, at: np.ndarray) -> DataFrame:
         return _batch({"node": node, "n": n, "profile": profile, "fragment": fragment, "part": _lists(list(part))}, schema)
 
     kind = "node long, n long, profile binary, fragment int, part array<long>"
-    return docs.select("key", "text").mapInArrow(run, kind)
+    return docs.select(_name(), "text").mapInArrow(run, kind)
+
+
+def _name():
+    """A hash of a document's doc_id and text."""
+    return F.xxhash64("doc_id", "key").alias("name")
 
 
 class Bounds:
@@ -338,9 +346,11 @@ def possible(rows: DataFrame, profiles: DataFrame, percent: int, every: bool) ->
 def linked(parts: DataFrame, pairs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The pairs (a, b, na, nb) that are similar: each fragment's overlap is counted by itself, and a pair's sum over
     the fragments decides."""
+    nodes = cut(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
+    parts = parts.join(checked(nodes), "node", "left_semi")
     left = parts.select(F.col("node").alias("b"), "fragment", F.col("part").alias("pb"))
     right = parts.select(F.col("node").alias("a"), "fragment", F.col("part").alias("pa"))
-    both = pairs.join(left, "b").join(right, ["a", "fragment"])
+    both = checked(pairs).join(left, "b").join(right, ["a", "fragment"])
     counted = both.select("a", "b", "na", "nb", F.size(F.array_intersect("pa", "pb")).alias("o"))
     total = counted.groupBy("a", "b", "na", "nb").agg(F.sum("o").alias("o"))
     return total.where(f"100 * o >= {percent} * (na + nb - o)").select("a", "b")
@@ -365,22 +375,32 @@ def first_pairs(rows: DataFrame, percent: int) -> DataFrame:
     return pairs.where(_near(percent)).distinct()
 
 
-def buckets(sets: DataFrame, spark, log: int) -> DataFrame:
+def _shared(rows: DataFrame) -> DataFrame:
+    """The rows (token, node, n) whose token two nodes or more have."""
+    of = rows.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi")
+    return rows.join(checked(cut(of.select("token"))), "token", "left_semi")
+
+
+def buckets(sets: DataFrame, spark, log: int, percent: int) -> DataFrame:
     """token, node, n: the buckets of nodes that share an n-gram of their prefixes, one of those with equal nodes.
 
     What only one node has is left out by a filter of the n-grams of two nodes at least, whose false ones a count of
-    the rows that are left removes."""
+    the rows that are left removes. A node that shares fewer n-grams of its prefix than it does with the smallest set
+    that it may be similar to is left out too, and what then only one node has."""
     short = F.shiftright("node", 24)  # 40 bits tell nodes apart here
     flat = sets.select(F.explode("tokens").alias("token"), short.alias("node"))
     twice = flat.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi")
     bits = spark.sparkContext.broadcast(bit_filter(twice, "token", log))
     with Scratch(spark) as scratch:
-        rows = scratch.keep(shared_tokens(sets, bits).distinct())
+        rows = scratch.keep(_shared(scratch.keep(shared_tokens(sets, bits).distinct())))
+        least = F.greatest(F.lit(1), F.expr(f"({percent} * n + 99) div 100 div {MORE}"))
+        few = cut(rows.groupBy("node", "n").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= least).select("node"))
+        rows = scratch.keep(_shared(rows.join(checked(few), "node", "left_semi")))
         hashed = F.xxhash64("node")
         of = rows.groupBy("token").agg(
             F.count(F.lit(1)).alias("m"), F.bit_xor(hashed).alias("s"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("t")
         )
-        one = cut(of.where("m > 1").groupBy("m", "s", "t").agg(F.min("token").alias("token")).select("token"))
+        one = cut(of.groupBy("m", "s", "t").agg(F.min("token").alias("token")).select("token"))
         return cut(rows.join(checked(one), "token"))
 
 
@@ -407,14 +427,15 @@ def similar(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         order = merged_sketch(summary.where("counts is not null"), log)
         sketch = share(order)
         with Scratch(spark) as first:
-            rows = buckets(first.keep(prefixes(docs, sketch, percent)), spark, log_size(n, LEAST_LOG, FILTER_LOG - 8) + 8)
+            rows = buckets(first.keep(prefixes(docs, sketch, percent)), spark, log_size(n, LEAST_LOG, FILTER_LOG - 8) + 8, percent)
         release(spark)
         wanted = cut(rows.select("node").distinct())
-        texts = nodes.join(checked(wanted), "node", "left_semi").select("key").distinct()
-        bits = share(bit_filter(texts, "key", log_size(n, LEAST_LOG, FILTER_LOG - 3) + 3))
-        sets = scratch.keep(segments(docs, bits, sketch, cuts(order)).join(checked(wanted), "node", "left_semi"))
-        profiles = scratch.keep(sets.where("fragment < 0").dropDuplicates(["node"]).select("node", "profile"))
-        parts = scratch.keep(sets.where("fragment >= 0").dropDuplicates(["node", "fragment"]).select("node", "fragment", "part"))
+        one = nodes.join(checked(wanted), "node", "left_semi").groupBy("node").agg(F.min(_name()).alias("name"))
+        bits = share(bit_filter(one, "name", log_size(n, LEAST_LOG, FILTER_LOG - 3) + 3))
+        sets = segments(docs, bits, sketch, cuts(order)).join(checked(wanted), "node", "left_semi")
+        sets = scratch.keep(sets.dropDuplicates(["node", "fragment"]))
+        profiles = sets.where("fragment < 0").select("node", "profile")
+        parts = sets.where("fragment >= 0").select("node", "fragment", "part")
         release(spark)
 
         tested = scratch.keep(first_pairs(rows, percent))
