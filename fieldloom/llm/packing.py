@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections import defaultdict
 from collections.abc import Iterator
@@ -14,8 +15,12 @@ from pyspark.sql import DataFrame
 from fieldloom.llm.common import cut, positions
 
 TOKENIZER = "word_bpe_49k.json"
-#: Words whose ids a worker remembers; past it, it forgets all and starts anew.
-REMEMBERED = 400_000
+#: Words of a generation whose ids a worker remembers, and letters of the longest that it does: some 30 MB in all.
+REMEMBERED, LONGEST = 100_000, 48
+#: Characters of a text that are split into words at a time.
+CHUNK = 1 << 18
+#: Texts by which a vocabulary is tried.
+PROBES = ("", "One word, \tand\n another\u00e9 \x0b word; 12 <|x|> \u0395\u03bd it's.", "  two  ")
 #: Marks that may end a word of letters; none of them starts a token with letters in it.
 MARKS = ".,;:!?#*%&$|<>"
 _tokenizers: dict = {}
@@ -29,13 +34,34 @@ def _byte_letters() -> dict[int, int]:
     return {b: b for b in printed} | {b: 0x100 + i for i, b in enumerate(rest)}
 
 
+class _Known(dict):
+    """The ids of words as bytes, found when they are first asked for. What was not asked for lately is forgotten: there
+    are two generations of at most REMEMBERED words, and longer words than LONGEST are not kept."""
+
+    def __init__(self, find):
+        super().__init__()
+        self.find, self.older = find, {}
+
+    def __missing__(self, word: str) -> bytes:
+        found = self.older.get(word)
+        if found is None:
+            found = self.find(word)
+        if len(word) <= LONGEST:
+            if len(self) >= REMEMBERED:
+                self.older = dict(self)
+                self.clear()
+            self[word] = found
+        return found
+
+
 class WordIds:
     """The ids of a text, found word by word and remembered.
 
     The vocabulary drops white space and never joins what white space parts, so a text's ids are its words' ids in
-    turn. A word is split off at a space, tab or line feed; other white space stays inside a word, for the tokenizer
-    itself to drop. A word of European Latin letters, but for marks at its end, is looked up as its lower-case letters
-    and its marks, and letters alone need the merges only, not the steps before them."""
+    turn; a vocabulary of which this does not hold is refused. A word is split off at a space, tab or line feed; other
+    white space stays inside a word, for the tokenizer itself to drop. A word of European Latin letters, but for marks
+    at its end, is looked up as its lower-case letters and its marks, and letters alone need the merges only, not the
+    steps before them."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -44,42 +70,37 @@ class WordIds:
         self.tokenizer.encode_special_tokens = True
         self.merge = self.tokenizer.model.tokenize
         self.letters = _byte_letters()
-        self.known: dict[str, bytes] = {"": b""}
-
-    def _encode(self, words: list[str]) -> None:
-        whole = []
-        for word in words:
-            if word.isalpha() and word.islower() and max(word) < "\u0180":
-                spelt = word.encode().decode("latin-1").translate(self.letters)
-                self.known[word] = np.array([t.id for t in self.merge(spelt)], "<u4").tobytes()
-            else:
-                whole.append(word)
-        for word, found in zip(whole, self.tokenizer.encode_batch(whole, add_special_tokens=False), strict=True):
-            self.known[word] = np.array(found.ids, "<u4").tobytes()
-
-    def learn(self, words: set[str]) -> None:
-        known, parts, plain = self.known, {}, set()
-        for word in words:
-            head = word.rstrip(MARKS)
-            if head.isalpha() and max(head) < "\u0180" and "\u0130" not in head:
-                low, tail = head.lower(), word[len(head):]
-                parts[word] = (low, tail)
-                plain.update(x for x in (low, tail) if x not in known)
-            else:
-                plain.add(word)
-        self._encode(sorted(plain))
-        for word, (head, tail) in parts.items():
-            known[word] = known[head] + known[tail]
+        self.known = _Known(self._find)
+        for probe in PROBES:
+            if self._whole(probe) != self([probe])[0]:
+                raise ValueError(f"{path}: the ids of a text are not those of its words in turn")
+
+    def _whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _find(self, word: str) -> bytes:
+        head = word.rstrip(MARKS)
+        if not head.isalpha() or not head.isascii() and (max(head) >= "\u0180" or "\u0130" in head):
+            return self._whole(word)
+        low = head.lower()
+        if len(head) != len(word):
+            return self.known[low] + self.known[word[len(head) :]]
+        if low != head:
+            return self.known[low]
+        spelt = low if low.isascii() else low.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.merge(spelt)]).tobytes()
+
+    def _parts(self, text: str) -> Iterator[bytes]:
+        """The ids of a text, some words at a time, so that a very long one is never split up as a whole."""
+        text, at = text.replace("\n", " ").replace("\t", " "), 0
+        while at < len(text):
+            to = len(text) if len(text) - at <= CHUNK else text.find(" ", at + CHUNK)
+            to = len(text) if to < 0 else to
+            yield b"".join(map(self.known.__getitem__, text[at:to].split(" ")))
+            at = to
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.known = {"": b""}
-        new = set().union(*split) - self.known.keys() if split else set()
-        if new:
-            self.learn(new)
-        known = self.known
-        return [b"".join([known[w] for w in words]) for words in split]
+        return [b"".join(self._parts(t)) for t in texts]
 
 
 def word_ids(path: str) -> WordIds:
