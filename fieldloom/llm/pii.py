@@ -19,6 +19,10 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
+#: Credentials, which the method adds to the kinds: runs of 20 such characters or more with letters, digits and ten
+#: different characters at least, that is with about the information of a random string.
+SECRET = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])(?=[0-9+/_-]*+[A-Za-z])[A-Za-z0-9+/_-]{20,}+"
+KINDS = [*PATTERNS, "secret"]
 #: What a text must have for a pattern to be tried at all.
 HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){12}", "phone": r"\+[0-9]"}
 #: A term is a run of so many letters or more; words are looked at within so many characters of a value.
@@ -26,6 +30,8 @@ TERM, AROUND = r"\p{L}{3,}", 80
 #: A term gives a value away if it tells more than this share of the value's information content; beside a value in
 #: fewer different texts than this the term counts as one text more frequent than it is.
 SUPPORT, SHARE = 5, 0.9
+#: Rows of lists and patterns that may be broadcast.
+WIDE = 1 << 14
 
 
 def digits(match: Column) -> Column:
@@ -53,6 +59,7 @@ VALID: dict[str, Callable[[Column], Column]] = {
     "ip": lambda m: F.forall(F.split(m, r"\."), _small),
     "card": lambda m: F.when(F.length(digits(m)).between(13, 19), luhn(digits(m))).otherwise(False),
     "phone": lambda m: F.length(digits(m)).between(9, 15),
+    "secret": lambda m: F.size(F.array_distinct(F.split(m, ""))) >= 10,
 }
 
 
@@ -79,46 +86,69 @@ def base_spans(text: Column) -> dict[str, Column]:
     return {k: F.when(text.rlike(HINTS[k]), spans(text, F.lit(p), VALID[k])).otherwise(none) for k, p in PATTERNS.items()}
 
 
+NO_SPANS = "array<struct<s:int,e:int>>"
+
+
+def _clear(spans_: Column, values: Column) -> Column:
+    """The spans that touch none of the values' spans."""
+    return F.filter(spans_, lambda x: ~F.exists(values, lambda v: (v["s"] < x["e"]) & (x["s"] < v["e"])))
+
+
 def found(docs: DataFrame) -> DataFrame:
-    """docs with _text (null read as empty) and one column of spans per kind, _email to _phone."""
+    """docs, of which the text is read, with _text (null read as empty) and a column of spans per kind, _email to
+    _secret."""
     out = docs.withColumn("_text", F.coalesce(F.col("text"), F.lit("")))
-    return out.withColumns({f"_{k}": v for k, v in base_spans(F.col("_text")).items()})
+    out = out.withColumns({f"_{k}": v for k, v in base_spans(F.col("_text")).items()})
+    values = F.concat(*(F.col(f"_{k}") for k in PATTERNS))
+    secret = _clear(spans(F.col("_text"), F.lit(SECRET), VALID["secret"]), values)
+    return out.withColumn("_secret", F.when(F.col("_text").rlike(SECRET), secret).otherwise(F.array().cast(NO_SPANS)))
+
 
+def _group(kind: str, value: Column) -> Column:
+    """What a value has in common with others of its origin: an email's domain, the first half of an IP, a card's
+    issuer, a phone's first digits; a credential has nothing."""
+    return {
+        "email": F.substring_index(value, "@", -1), "ip": F.substring_index(value, ".", 2), "card": F.substring(value, 1, 6),
+        "phone": F.substring(value, 1, 4), "secret": F.lit(None).cast("string"),
+    }[kind]
 
-def _mentions() -> Column:
-    """Array of (entity, terms) of a document: every value found, by kind and in one spelling, and the terms near it
-    that are not part of a value."""
+
+def _mentions(around: int = AROUND) -> Column:
+    """Array of (entities, terms) of a document: for every value found its kind, its group and itself, in one spelling,
+    and the terms within `around` characters of it that are not part of a value."""
 
     def of(kind: str) -> Column:
         def one(x: Column) -> Column:
             value = F.substr(F.col("_text"), x["s"] + 1, x["e"] - x["s"])
-            value = F.lower(value) if kind in ("email", "ip") else digits(value)
-            low = F.greatest(F.lit(0), x["s"] - AROUND)
+            value = digits(value) if kind in ("card", "phone") else F.lower(value)
+            low = F.greatest(F.lit(0), x["s"] - around)
             before = F.substr(F.col("_text"), low + 1, x["s"] - low)
             before = F.when(low > 0, F.regexp_replace(before, r"^\S*\s", "")).otherwise(before)
-            after = F.substr(F.col("_text"), x["e"] + 1, F.lit(AROUND))
-            after = F.when(x["e"] + AROUND < F.length("_text"), F.regexp_replace(after, r"\s\S*$", "")).otherwise(after)
+            after = F.substr(F.col("_text"), x["e"] + 1, F.lit(around))
+            after = F.when(x["e"] + around < F.length("_text"), F.regexp_replace(after, r"\s\S*$", "")).otherwise(after)
             near = F.regexp_replace(F.concat_ws("\n", before, after), r"\S*[@0-9]\S*", " ")
             terms = F.array_distinct(F.regexp_extract_all(F.lower(near), F.lit(TERM), F.lit(0)))
-            return F.struct(F.concat(F.lit(f"{kind}:"), value).alias("entity"), terms.alias("terms"))
+            group = F.concat(F.lit(f"{kind}/"), _group(kind, value))
+            entities = F.array_compact(F.array(F.lit(kind), group, F.concat(F.lit(f"{kind}:"), value)))
+            return F.struct(entities.alias("entities"), terms.alias("terms"))
 
         return F.transform(F.col(f"_{kind}"), one)
 
-    return F.concat(*(of(k) for k in PATTERNS))
+    return F.concat(*(of(k) for k in KINDS))
 
 
 def any_span() -> Column:
     total = F.lit(0)
-    for k in PATTERNS:
+    for k in KINDS:
         total = total + F.size(f"_{k}")
     return total > 0
 
 
 def base_table(docs: DataFrame) -> DataFrame:
-    """doc_id, _h (a hash of the text), _email to _phone, and _mentions; cut, as several steps read it."""
+    """doc_id, _h (a hash of the text), _email to _secret, and _mentions; cut, as several steps read it."""
     rows = found(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     rows = rows.withColumn("_mentions", F.when(any_span(), _mentions()))
-    return cut(rows.select("doc_id", F.xxhash64("_text").alias("_h"), *(f"_{k}" for k in PATTERNS), "_mentions"))
+    return cut(rows.select("doc_id", F.xxhash64("_text").alias("_h"), *(f"_{k}" for k in KINDS), "_mentions"))
 
 
 def disclosing(base: DataFrame, docs: DataFrame, support: int = SUPPORT, share: float = SHARE) -> DataFrame | None:
@@ -128,11 +158,10 @@ def disclosing(base: DataFrame, docs: DataFrame, support: int = SUPPORT, share:
     both side by side, of N, PMI(c,t) = log2(n(c,t) N / (n(c) n(t))) is the information that t gives about c, and
     IC(c) = log2(N / n(c)) what there is; t is disclosing if PMI >= share * IC for some c. Where n(c,t) < support, N + 1
     and n(t) + 1 stand for N and n(t), so that in a small table no word is taken as rare for want of texts. c is each
-    value, and each kind as a whole. Terms are counted by weight, a copy of a text for its share of it."""
+    value, each group of values of one origin, and each kind as a whole. Terms are counted by weight, a copy of a text
+    for its share of it."""
     rows = base.where("_mentions is not null").select("_h", F.explode("_mentions").alias("m"))
-    rows = rows.select("_h", "m.entity", "m.terms")
-    kind = F.substring_index("entity", ":", 1)
-    rows = rows.unionByName(rows.withColumn("entity", kind))
+    rows = rows.select("_h", F.explode("m.entities").alias("entity"), "m.terms")
     of_entity = rows.select("entity", "_h").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("nc"))
     pairs = rows.select("entity", F.explode("terms").alias("term"), "_h").distinct()
     pairs = pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("nct"))
@@ -161,7 +190,7 @@ def term_spans(docs: DataFrame, held: DataFrame) -> DataFrame:
     """_h and _term, the spans of its disclosing terms, one row per text that has some."""
     lists = cut(held.groupBy("_h").agg(F.array_join(F.array_sort(F.collect_set("term")), "|").alias("_terms")))
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(F.xxhash64(text).alias("_h"), text.alias("_text")).join(checked(lists), "_h")
+    rows = docs.select(F.xxhash64(text).alias("_h"), text.alias("_text")).join(checked(lists, WIDE), "_h")
     rows = rows.groupBy("_h").agg(F.first("_text").alias("_text"), F.first("_terms").alias("_terms"))
     pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.col("_terms"), F.lit(r")(?!\p{L})"))
     return cut(rows.select("_h", spans(F.col("_text"), pattern, lambda m: F.lit(True)).alias("_term")))
@@ -169,39 +198,48 @@ def term_spans(docs: DataFrame, held: DataFrame) -> DataFrame:
 
 def _with_terms(rows: DataFrame, docs: DataFrame, held: DataFrame | None) -> DataFrame:
     """rows with _term: the term spans of its text that touch no span of a value."""
+    none = F.array().cast(NO_SPANS)
     if held is None:
-        return rows.withColumn("_term", F.array().cast("array<struct<s:int,e:int>>"))
+        return rows.withColumn("_term", none)
     extra = term_spans(docs, held)
-    values = F.concat(*(F.col(f"_{k}") for k in PATTERNS))
-    clear = lambda x: ~F.exists(values, lambda v: (v["s"] < x["e"]) & (x["s"] < v["e"]))
-    term = F.coalesce(F.filter("_term", clear), F.array().cast("array<struct<s:int,e:int>>"))
-    return rows.join(checked(extra), "_h", "left").withColumn("_term", term)
+    term = F.coalesce(_clear(F.col("_term"), F.concat(*(F.col(f"_{k}") for k in KINDS))), none)
+    return rows.join(checked(extra, WIDE), "_h", "left").withColumn("_term", term)
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans and n_term of every document.
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_secret, n_term and n_found (values and
+    credentials, without terms) of every document.
 
-    A null text counts as empty; repeated rows are reported each; an empty table gives an empty result; columns other
-    than doc_id and text are not read."""
+    A null text counts as empty; repeated rows are reported each, and count as one text for the method; terms of equal
+    information are all taken, so ties need no order; a very long text is read whole, by one task; an empty table gives
+    an empty result; columns other than doc_id and text are not read, so their names cannot clash."""
     base = base_table(docs)
     rows = _with_terms(base.drop("_mentions"), docs, disclosing(base, docs))
     say = lambda k: F.transform(f"_{k}", lambda x: F.concat_ws(":", F.lit(k), x["s"].cast("string"), x["e"].cast("string")))
     own = F.concat(*(say(k) for k in PATTERNS))
+    total = F.size("_secret")
+    for k in PATTERNS:
+        total = total + F.size(f"_{k}")
     return rows.select(
         "doc_id", *(F.size(f"_{k}").cast("long").alias(f"n_{k}") for k in PATTERNS),
         F.sha2(F.array_join(own, ",").cast("binary"), 256).alias("base_sha256"),
-        F.array_join(F.concat(own, say("term")), ",").alias("spans"), F.size("_term").cast("long").alias("n_term"),
+        F.array_join(F.concat(own, say("secret"), say("term")), ",").alias("spans"), F.size("_secret").cast("long").alias("n_secret"),
+        F.size("_term").cast("long").alias("n_term"), total.cast("long").alias("n_found"),
     )
 
 
 def scrub(docs: DataFrame) -> DataFrame:
-    """docs with every span of the text replaced by its kind in brackets, values and disclosing terms alike; a span
-    that overlaps the one before goes with it. A null text stays null, and all other columns stay."""
-    held = disclosing(base_table(docs), docs) if "doc_id" in docs.columns else None
-    rows = found(docs).withColumn("_h", F.xxhash64("_text"))
-    rows = _with_terms(rows, docs, held)
+    """docs with every span of the text replaced by its kind in brackets, values, credentials and disclosing terms
+    alike; a span that overlaps the one before goes with it.
+
+    A null text stays null, and all other columns stay, whatever their names; repeated rows are scrubbed each and
+    alike, as are ties; a very long text is scrubbed whole, by one task; an empty table gives an empty result."""
+    own = docs.select(F.struct(*docs.columns).alias("doc"), F.col("text").alias("text"))
+    held = disclosing(base_table(docs), docs)
+    rows = found(own).withColumn("_h", F.xxhash64("_text"))
+    rows = _with_terms(rows, own, held)
     tag = lambda k: F.transform(f"_{k}", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lit(f"[{k.upper()}]").alias("k")))
-    every = F.array_sort(F.concat(*(tag(k) for k in [*PATTERNS, "term"])))
+    every = F.array_sort(F.concat(*(tag(k) for k in [*KINDS, "term"])))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
@@ -212,4 +250,4 @@ def scrub(docs: DataFrame) -> DataFrame:
     rest = lambda acc: F.concat(acc["out"], F.substr(F.col("_text"), acc["at"] + 1, F.length("_text")))
     some = any_span() | (F.size("_term") > 0)
     clean = F.when(some, F.aggregate(every, start, step, rest)).otherwise(F.col("text"))
-    return rows.withColumn("text", clean).select(*docs.columns)
+    return rows.select("doc", clean.alias("text")).select(*(F.col("text") if c == "text" else F.col("doc")[c].alias(c) for c in docs.columns))
