@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 from fieldloom.llm.common import WORD, checked, cut
 
 SPACE = r"[\x20\x09-\x0D]+"
-#: Buckets of a sketch: each value is a whole number from 0 to this, so a quantile's rank is exact.
-TOP = 1000
+#: Values below this have a bucket each in a sketch; above, a bucket is as wide as their top ten bits tell apart.
+FINE = 1024
 #: A threshold is this many quartile ranges, and this many units besides, beyond the quartile.
 RANGES = 3
 SLACK = {"symbols": 60, "length": 30, "lines": 300}
-#: Documents of a language and source from which it has thresholds of its own; else those of all documents hold.
-LEAST = 50
+#: A language and source's thresholds are the mean of its own, with its documents as weight, and of those of all
+#: documents, with this weight: the fewer documents it has, the more it is held to what is usual.
+PRIOR = 50
 
 
 def words(text: Column) -> Column:
@@ -70,27 +71,31 @@ def measured(docs: DataFrame, repeats: bool = True, row: Column | None = None) -
 
 
 def features() -> dict[str, Column]:
-    """The measures with adaptive thresholds, as whole numbers from 0 to TOP: symbols per 1000 characters of words,
-    mean word length in tenths, repeated lines per 1000 lines. Null for a document without words."""
-    div = lambda a, b, k: F.when(F.col("_n_words") > 0, F.least(F.lit(TOP), F.expr(f"{a} * {k}L div {b}")))
-    return {
-        "symbols": div("_n_symbols", "_word_chars", 1000),
-        "length": div("_word_chars", "_n_words", 10),
-        "lines": div("_n_dup_lines", "_n_lines", 1000),
-    }
-
-
-def sketches(docs: DataFrame) -> DataFrame:
-    """lang, source, feature, bucket, n: counts that add up across tasks, files and days. The measures' buckets are
-    as fine as the measures, so any quantile is exact; a language and source have 3 * (TOP + 1) rows at most."""
-    rows = measured(docs, repeats=False).where("_n_words > 0")
+    """The measures with adaptive thresholds, as whole numbers: symbols per 1000 characters of words, mean word length
+    in tenths, repeated lines per 1000 lines. From FINE on only the top ten bits count. Null for a document without
+    words."""
+
+    def ratio(a: str, b: str, k: int) -> Column:
+        v = F.expr(f"{a} * {k}L div {b}")
+        step = F.length(F.bin(v)) - 10
+        coarse = F.call_function("shiftleft", F.call_function("shiftright", v, step), step)
+        return F.when(F.col("_n_words") > 0, F.when(v < FINE, v).otherwise(coarse))
+
+    return {"symbols": ratio("_n_symbols", "_word_chars", 1000), "length": ratio("_word_chars", "_n_words", 10), "lines": ratio("_n_dup_lines", "_n_lines", 1000)}
+
+
+def sketches(rows: DataFrame) -> DataFrame:
+    """lang, source, feature, bucket, n of measured documents: counts that add up across tasks, files and days. The
+    buckets are as fine as the measures up to FINE, so quantiles are exact there; a language and source have some
+    FINE rows a feature at most, and 512 more for each doubling above."""
     pairs = F.explode(F.array(*(F.struct(F.lit(k).alias("feature"), v.alias("bucket")) for k, v in features().items())))
-    rows = rows.select(F.col("lang").cast("string"), F.col("source").cast("string"), pairs.alias("f"))
+    rows = rows.where("_n_words > 0").select(F.col("lang").cast("string"), F.col("source").cast("string"), pairs.alias("f"))
     return rows.groupBy("lang", "source", "f.feature", "f.bucket").agg(F.count(F.lit(1)).alias("n"))
 
 
 def thresholds(counts: DataFrame) -> DataFrame:
-    """_lang, _source and, for each feature, its low and high threshold; one row per language and source."""
+    """_lang, _source and, for each feature, its low and high threshold times _{feature}_weight; one row per language
+    and source. All are whole numbers, so there is no rounding."""
 
     def fences(rows: DataFrame, keys: list[str]) -> DataFrame:
         up = Window.partitionBy(*keys, "feature").orderBy("bucket")
@@ -106,49 +111,52 @@ def thresholds(counts: DataFrame) -> DataFrame:
     merged = counts.groupBy("feature", "bucket").agg(F.sum("n").alias("n"))
     overall = fences(merged, []).select("feature", F.col("low").alias("low_all"), F.col("high").alias("high_all"))
     both = own.join(F.broadcast(overall), "feature")  # three rows
-    few = F.col("total") < LEAST
-    both = both.select("lang", "source", "feature", F.when(few, F.col("low_all")).otherwise(F.col("low")).alias("low"),
-                       F.when(few, F.col("high_all")).otherwise(F.col("high")).alias("high"))
+    mean = lambda c: (F.col("total") * F.col(c) + PRIOR * F.col(f"{c}_all")).alias(c)
+    both = both.select("lang", "source", "feature", mean("low"), mean("high"), (F.col("total") + PRIOR).alias("weight"))
     pick = lambda k, c: F.max(F.when(F.col("feature") == k, F.col(c))).alias(f"_{k}_{c}")
     return both.groupBy(F.col("lang").alias("_lang"), F.col("source").alias("_source")).agg(
-        *(pick(k, c) for k in SLACK for c in ("low", "high"))
+        *(pick(k, c) for k in SLACK for c in ("low", "high", "weight"))
     )
 
 
-def judged(docs: DataFrame, row: Column | None = None) -> DataFrame:
-    """docs, all its columns, with the counts of measured(), _row if given, _base_failed and _kept.
-
-    The base rules fail a document of under 10 words or with over 20 % of its words in repeated windows; the adaptive
-    ones reject a document with a measure beyond its language and source's thresholds. Two passes over the text, one
-    for the sketches and one for all measures and the join; nothing but sketches is shuffled while there are no more
-    languages and sources than a checked broadcast takes. A null text has no words and fails; null languages and
-    sources are groups of their own."""
-    limits = cut(thresholds(sketches(docs)))
-    rows = measured(docs, row=row)
+def judged(rows: DataFrame, limits: DataFrame) -> DataFrame:
+    """Measured documents with _base_failed and _kept. The base rules fail a document of under 10 words or with over
+    20 % of its words in repeated windows; the adaptive ones reject a document with a measure beyond its language and
+    source's thresholds."""
     of = F.col("lang").cast("string").eqNullSafe(F.col("_lang")) & F.col("source").cast("string").eqNullSafe(F.col("_source"))
     rows = rows.join(checked(limits), of, "left")
     base = (F.col("_n_words") < 10) | (100 * F.col("_n_repeat_words") > 20 * F.col("_n_words"))
     beyond = F.lit(False)
     for k, v in features().items():
+        v = v * F.col(f"_{k}_weight")
         beyond = beyond | F.coalesce((v > F.col(f"_{k}_high")) | (v < F.col(f"_{k}_low")), F.lit(False))
-    rows = rows.withColumn("_base_failed", base).withColumn("_kept", ~base & ~beyond)
-    return rows.drop("_lang", "_source", "_n_lines", *(f"_{k}_{c}" for k in SLACK for c in ("low", "high")))
+    return rows.withColumn("_base_failed", base).withColumn("_kept", ~base & ~beyond)
 
 
 def report(docs: DataFrame) -> DataFrame:
     """The counts and verdict of every document: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-    base_failed, kept. Repeated rows are judged each; an empty table gives an empty result; columns other than doc_id,
-    text, lang and source are not read."""
-    rows = judged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", "source"))
+    base_failed, kept.
+
+    Each text is measured once, whole; the counts are kept and give the sketches and the verdicts. A null text has no
+    words and fails; null languages and sources are groups of their own; a measure that ties with a threshold is
+    within it; repeated rows are judged each; a very long text is measured by one task; an empty table gives an empty
+    result; columns other than doc_id, text, lang and source are not read, so their names cannot clash."""
+    rows = measured(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", "source"))
+    rows = cut(rows.drop("text"))
+    rows = judged(rows, cut(thresholds(sketches(rows))))
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     return rows.select("doc_id", *(F.col(f"_{c}").alias(c) for c in [*counts, "base_failed", "kept"]))
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The documents that are kept, with the columns of docs, whatever their names.
+    """The documents that are kept (see report(), also for nulls, ties, repeated rows, very long texts and empty
+    tables), with the columns of docs, whatever their names. Two passes over the texts, one for the sketches and one
+    for all measures; nothing but sketches is shuffled while there are no more languages and sources than a checked
+    broadcast takes.
 
     The verdict is held against a row number, which is not deterministic: that keeps Catalyst from moving the filter
     below the measures, where it would write each of them out anew wherever the verdict mentions it."""
     rows = docs.select("text", "lang", "source", F.struct(*docs.columns).alias("_doc"))
-    rows = judged(rows, F.monotonically_increasing_id())
+    limits = cut(thresholds(sketches(measured(rows.drop("_doc"), repeats=False))))
+    rows = judged(measured(rows, row=F.monotonically_increasing_id()), limits)
     return rows.where(F.col("_kept") & (F.col("_row") >= 0)).select("_doc.*")

@@ -147,10 +147,20 @@ WITH w AS (
          CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words
   FROM w LEFT JOIN rep ON w.doc_id = rep.doc_id
 ), f AS (
-  SELECT *, CASE WHEN n_words > 0 THEN least(1000, n_symbols * 1000 // word_chars) END AS symbols,
-         CASE WHEN n_words > 0 THEN least(1000, word_chars * 10 // n_words) END AS length,
-         CASE WHEN n_words > 0 THEN least(1000, n_dup_lines * 1000 // n_lines) END AS lines
-  FROM m
+  SELECT m.*, g.symbols, g.length, g.lines
+  FROM m JOIN (
+    SELECT doc_id, max(CASE WHEN feature = 'symbols' THEN v END) AS symbols, max(CASE WHEN feature = 'length' THEN v END) AS length,
+           max(CASE WHEN feature = 'lines' THEN v END) AS lines
+    FROM (
+      SELECT doc_id, feature, CASE WHEN v < 1024 THEN v ELSE (v >> (length(bin(v)) - 10)) << (length(bin(v)) - 10) END AS v
+      FROM (
+        SELECT doc_id, 'symbols' AS feature, CASE WHEN n_words > 0 THEN n_symbols * 1000 // word_chars END AS v FROM m
+        UNION ALL SELECT doc_id, 'length', CASE WHEN n_words > 0 THEN word_chars * 10 // n_words END FROM m
+        UNION ALL SELECT doc_id, 'lines', CASE WHEN n_words > 0 THEN n_dup_lines * 1000 // n_lines END FROM m
+      )
+    )
+    GROUP BY doc_id
+  ) g USING (doc_id)
 ), long AS (
   SELECT lang, source, 'symbols' AS feature, 60 AS slack, symbols AS v FROM f WHERE n_words > 0
   UNION ALL SELECT lang, source, 'length', 30, length FROM f WHERE n_words > 0
@@ -161,14 +171,15 @@ WITH w AS (
 ), qa AS (
   SELECT feature, quantile_disc(v, 0.25) AS q1, quantile_disc(v, 0.75) AS q3 FROM long GROUP BY ALL
 ), t AS (
-  SELECT lang, source, feature,
-         CASE WHEN n < 50 THEN qa.q1 - 3 * (qa.q3 - qa.q1) - slack ELSE q.q1 - 3 * (q.q3 - q.q1) - slack END AS low,
-         CASE WHEN n < 50 THEN qa.q3 + 3 * (qa.q3 - qa.q1) + slack ELSE q.q3 + 3 * (q.q3 - q.q1) + slack END AS high
+  SELECT lang, source, feature, n + 50 AS weight,
+         n * (q.q1 - 3 * (q.q3 - q.q1) - slack) + 50 * (qa.q1 - 3 * (qa.q3 - qa.q1) - slack) AS low,
+         n * (q.q3 + 3 * (q.q3 - q.q1) + slack) + 50 * (qa.q3 + 3 * (qa.q3 - qa.q1) + slack) AS high
   FROM q JOIN qa USING (feature)
 ), j AS (
   SELECT f.*, coalesce(n_words < 10 OR 100 * n_repeat_words > 20 * n_words, false) AS base_failed,
-         coalesce(symbols < s.low OR symbols > s.high, false) OR coalesce(length < c.low OR length > c.high, false)
-           OR coalesce(lines < d.low OR lines > d.high, false) AS beyond
+         coalesce(symbols * s.weight < s.low OR symbols * s.weight > s.high, false)
+           OR coalesce(length * c.weight < c.low OR length * c.weight > c.high, false)
+           OR coalesce(lines * d.weight < d.low OR lines * d.weight > d.high, false) AS beyond
   FROM f
   LEFT JOIN t s ON s.feature = 'symbols' AND s.lang IS NOT DISTINCT FROM f.lang AND s.source IS NOT DISTINCT FROM f.source
   LEFT JOIN t c ON c.feature = 'length' AND c.lang IS NOT DISTINCT FROM f.lang AND c.source IS NOT DISTINCT FROM f.source
