@@ -93,7 +93,7 @@ def encode_component(value: Column | str) -> Column:
 
 def message(target: Column | str) -> Column:
     """What the status line says of a target, or of its absence."""
-    return F.when(truthy(target), F.concat(F.lit("Target field: "), column(target))).otherwise(F.lit("Waiting for a target field"))
+    return F.when(truthy(target), F.concat(F.lit("Target field: "), column(target))).otherwise(F.lit("Target field: not available"))
 
 
 def line(text: Column | str) -> Column:

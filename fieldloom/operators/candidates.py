@@ -35,8 +35,12 @@ def is_target(name: str = "reason") -> Column:
     return (F.col("tag") == "textarea") & (attr("name").eqNullSafe(name) | attr("id").eqNullSafe(name))
 
 
-def is_own() -> Column:
-    return F.array_contains(F.split(F.coalesce(attr("class"), F.lit("")), r"\s+"), "transcript-preview")
+#: The class of the tool's own field.
+OWN = "transcript-preview"
+
+
+def is_own(own: str = OWN) -> Column:
+    return F.array_contains(F.split(F.coalesce(attr("class"), F.lit("")), r"\s+"), own)
 
 
 def eligible(name: str = "reason") -> Column:
@@ -86,7 +90,7 @@ def scan(elements: DataFrame, name: str = "reason") -> DataFrame:
     rows = elements.where(scanned() & eligible(name)).withColumn("_t", candidate_text())
     rows = rows.withColumn("score", score(F.col("_t"), default_rules(F.col("_t"), name)))
     rows = rows.select("page_id", "node_index", "score", describe().alias("description"),
-                       T.join_truthy("#", "tag", attr("id"), attr("name")).alias("selector_hint"))
+                       T.join_truthy("#", "tag", attr("name"), attr("id")).alias("selector_hint"))
     order = Window.partitionBy("page_id").orderBy(F.desc("score"), "node_index")
     return rows.withColumn("place", F.row_number().over(order))
 
@@ -95,16 +99,20 @@ def best(elements: DataFrame, name: str = "reason") -> DataFrame:
     return scan(elements, name).where("place = 1").drop("place")
 
 
-def find_live(elements: DataFrame, name: str = "reason") -> DataFrame:
-    """page_id and node_index of the live target: the first text area of the name, else the first element of that id
-    if it is a text area; pages without one are left out."""
-    node = F.struct("node_index", "tag")
-    found = elements.groupBy("page_id").agg(
-        F.min(F.when((F.col("tag") == "textarea") & (attr("name") == name), F.col("node_index"))).alias("by_name"),
-        F.min(F.when(attr("id") == name, node)).alias("by_id"),
-    )
-    index = F.coalesce("by_name", F.when(F.col("by_id.tag") == "textarea", F.col("by_id.node_index")))
-    return found.select("page_id", index.alias("node_index")).where("node_index is not null")
+def first_of(rows: DataFrame, key: str, order: str, *choices: tuple[Column, Column]) -> DataFrame:
+    """key and the place in `order` of the first choice that holds: for each (test, valid), in turn, the first row that
+    passes the test counts if it is valid too, and no later one does; keys without any are left out."""
+    firsts = [F.min(F.when(test, F.struct(F.col(order).alias("at"), F.coalesce(valid, F.lit(False)).alias("valid")))) for test, valid in choices]
+    found = rows.groupBy(key).agg(F.coalesce(F.lit(None), *(F.when(f["valid"], f["at"]) for f in firsts)).alias(order))
+    return found.where(F.col(order).isNotNull())
+
+
+def find_live(elements: DataFrame, name: str = "reason", own: str = OWN) -> DataFrame:
+    """page_id and node_index of the live target: the first text area of the name if it is not the tool's own field,
+    else the first element of that id if it is a text area and not that field; pages without one are left out."""
+    area = F.col("tag") == "textarea"
+    by_name, by_id = (area & (attr("name") == name), ~is_own(own)), (attr("id") == name, area & ~is_own(own))
+    return first_of(elements, "page_id", "node_index", by_name, by_id)
 
 
 def preferred(fresh: DataFrame, cached: DataFrame, elements: DataFrame, name: str = "reason") -> DataFrame:

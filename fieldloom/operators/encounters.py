@@ -13,8 +13,9 @@ ZERO_DATE = "0000-00-00 00:00:00"
 
 
 def point_lookup(df: DataFrame, key: str, value, columns: list[str]) -> DataFrame:
-    """The first row with a key; a missing parameter is the empty text."""
-    return df.where(F.col(key) == F.lit("" if value is None else value)).select(*columns).limit(1)
+    """The first row with a key; a missing parameter is the empty text, which no number equals."""
+    wanted = F.lit("") if value is None else F.lit(value)
+    return df.where(F.col(key) == wanted.try_cast(df.schema[key].dataType)).select(*columns).limit(1)
 
 
 def single_value(df: DataFrame, key: str, value, column: str) -> DataFrame:
@@ -45,6 +46,38 @@ def with_literal_row(df: DataFrame, **values) -> DataFrame:
     return df.unionByName(one)
 
 
+def with_none(options: DataFrame, value: str, label: str, stored: Column, view: bool, none: str = "None") -> DataFrame:
+    """value, label, selected and place of options in their order and of one more for none, last and with an empty
+    value, which is selected if what is stored is empty; nothing is selected outside of the view mode."""
+    chosen = T.truthy_php(stored.cast("string"))
+    rows = options.select(F.col(value).cast("string").alias("value"), F.col(label).alias("label"), F.lit(0).alias("late"), "place")
+    rows = with_literal_row(rows, value="", label=none, late=1)
+    empty, same = F.col("late") == 1, loose_equal(F.col("value"), stored)
+    rows = rows.withColumn("selected", F.lit(view) & F.when(empty, ~chosen).otherwise(chosen & same))
+    return rows.select("value", "label", "selected", F.when(empty, F.lit(2**31 - 1)).otherwise(F.col("place")).alias("place"))
+
+
+def any_rows(df: DataFrame) -> DataFrame:
+    """One row with `some`: whether there are rows."""
+    return df.limit(1).agg((F.count(F.lit(1)) > 0).alias("some"))
+
+
+def mode(view: Column) -> Column:
+    """The heading of the form and whether its first field takes the focus, by mode."""
+    heading = F.when(view, F.lit("Group Encounter Form")).otherwise(F.lit("New Group Encounter Form"))  # fixed values
+    return F.struct(heading.alias("heading"), (~view).alias("focus"))
+
+
+def buttons(view: Column, autoloaded: Column) -> Column:
+    """Whether the form has its own buttons: in view mode, or if nothing loaded it by itself."""
+    return view | ~T.truthy_php(autoloaded)
+
+
+def enabled(df: DataFrame, *flags: bool) -> DataFrame:
+    """df if all feature flags are on, else none of its rows; Catalyst folds the test."""
+    return df.where(F.lit(all(flags)))
+
+
 def ordered(df: DataFrame, *by, name: str = "place") -> DataFrame:
     return df.withColumn(name, F.row_number().over(Window.orderBy(*by)))
 

@@ -7,7 +7,7 @@ import tempfile
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldloom.functions import text as T
@@ -18,6 +18,20 @@ DEMO = "Sample transcript: no speech service answered."
 _backends: dict[str, Backend] = {}
 
 
+def backend_of(factory: Callable[[], Backend]) -> Backend:
+    """The factory's backend, made once in a worker process. Callers import this where they run: a function that is
+    shipped to a worker takes its own copy of the names of its module along."""
+    made = f"{factory.__module__}.{factory.__qualname__}"
+    if made not in _backends:
+        _backends[made] = factory()
+    return _backends[made]
+
+
+def demo_rows(spark: SparkSession, recording_id: str = "demo", text: str = DEMO) -> DataFrame:
+    """The demo text as the one row of a transcription that was asked for."""
+    return spark.range(1).select(F.lit(recording_id).alias("recording_id"), F.lit(text).alias("transcription"), F.lit(None).cast("string").alias("error"))
+
+
 def stub_backend() -> Backend:
     """A stand-in for a speech model, none of which is here: the file read as UTF-8."""
 
@@ -38,12 +52,11 @@ def transcribe(audio: DataFrame, factory: Callable[[], Backend] = stub_backend,
     """key, transcription and error. Each row's bytes go to a temporary file of the right suffix that is always
     removed; a failure is that row's error and ends nothing else. The suffix comes from the column `name`."""
     suffix = T.file_suffix(name) if name else F.lit(".wav")
-    made = f"{factory.__module__}.{factory.__qualname__}"
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        if made not in _backends:
-            _backends[made] = factory()
-        backend = _backends[made]
+        from fieldloom.operators.transcribe import backend_of
+
+        backend = backend_of(factory)
         for pdf in parts:
             texts, errors = [], []
             for content, end in zip(pdf["content"], pdf["suffix"], strict=True):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -35,6 +36,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared(spark: SparkSession) -> str:
+    """The folder that driver and executors share; one of this machine only where there are no others."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+    return named or tempfile.mkdtemp(prefix="fieldloom-")
+
+
 @query("""
 SELECT p_brand, p_partkey, text, score, best_rank FROM (
   SELECT *, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY score DESC, p_partkey) AS INTEGER) AS best_rank FROM (
@@ -47,13 +56,13 @@ SELECT p_brand, p_partkey, text, score, best_rank FROM (
 """)
 def c03_candidate_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each brand's best part by an additive score, the smaller key among equals."""
+    from fieldloom.operators.candidates import Rule, score
+
     rows = table(spark, sf_dir, "part").withColumn("text", T.normalize(T.join_truthy(" ", "p_name", "p_type")))
-    score = F.lit(0)
-    for test, weight in ((F.contains("text", F.lit("steel")), 100), (F.contains("text", F.lit("brass")), 60),
-                         (F.contains("text", F.lit("large")), 30), (F.col("p_size") > 25, 15)):
-        score = score + F.when(test, weight).otherwise(0)
+    has = lambda word, weight: Rule(F.contains("text", F.lit(word)), weight)
+    rules = [has("steel", 100), has("brass", 60), has("large", 30), Rule(F.col("p_size") > 25, 15)]
     best = Window.partitionBy("p_brand").orderBy(F.desc("score"), "p_partkey")
-    rows = rows.withColumn("score", score).withColumn("best_rank", F.row_number().over(best))
+    rows = rows.withColumn("score", score(F.col("text"), rules)).withColumn("best_rank", F.row_number().over(best))
     return rows.where("best_rank <= 1").select("p_brand", "p_partkey", "text", "score", "best_rank")
 
 
@@ -128,8 +137,9 @@ def c07_default_facility(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fieldloom.operators.encounters import default_flag
 
     users = table(spark, sf_dir, "customer").selectExpr("c_name as username", "c_nationkey as facility_id")
-    name = users.agg(F.min("username")).first()[0]
-    return default_flag(table(spark, sf_dir, "nation").selectExpr("n_nationkey as id", "n_name"), users, name)
+    users = users.join(F.broadcast(users.agg(F.min("username").alias("first"))), F.col("username") == F.col("first"))  # one row
+    users = users.select(F.lit("me").alias("username"), "facility_id")
+    return default_flag(table(spark, sf_dir, "nation").selectExpr("n_nationkey as id", "n_name"), users, "me")
 
 
 @query("SELECT s_nationkey, arg_max(s_name, s_suppkey) FILTER (WHERE s_acctbal > 0) AS last_name, max(s_suppkey) AS last_key FROM supplier GROUP BY 1")
@@ -237,8 +247,12 @@ def c17_wait_deadline(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT user_id, coalesce(min(event_id) FILTER (WHERE event_type = 'purchase'), min(event_id) FILTER (WHERE event_type = 'click')) AS target FROM events GROUP BY 1
 """)
 def c18_priority_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first = lambda kind: F.min(F.when(F.col("event_type") == kind, F.col("event_id")))
-    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.coalesce(first("purchase"), first("click")).alias("target"))
+    from fieldloom.operators.candidates import first_of
+
+    events, kind = table(spark, sf_dir, "events"), F.col("event_type")
+    found = first_of(events, "user_id", "event_id", (kind == "purchase", F.lit(True)), (kind == "click", F.lit(True)))
+    users = events.select("user_id").distinct()
+    return users.join(found, "user_id", "left").withColumnRenamed("event_id", "target")
 
 
 @query("SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, props IS NOT NULL AND json_valid(props) AS valid FROM events")
@@ -305,13 +319,13 @@ def c24_coalesced_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coalesced_runs(rows, "user_id", "at", 60.0)
 
 
-@query()
+@query("SELECT 'nation' AS name, true AS inserted")
 def c25_verified_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     import uuid
 
     from fieldloom.operators.sinks import verified_write
 
-    top = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/fieldloom"
+    top = shared(spark)
     ok = verified_write(table(spark, sf_dir, "nation"), f"{top}/verified-{uuid.uuid4().hex}")
     return spark.range(1).select(F.lit("nation").alias("name"), F.lit(ok).alias("inserted"))
 
@@ -323,7 +337,7 @@ def c26_binary_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fieldloom.operators.transcribe import transcribe
     from fieldloom.sources.elements import audio_files
 
-    path = f"{spark.conf.get('spark.checkpoint.dir', None) or '/tmp/fieldloom'}/audio-{uuid.uuid4().hex}"
+    path = f"{shared(spark)}/audio-{uuid.uuid4().hex}"
     table(spark, sf_dir, "region").select("r_name").repartition(2).write.text(path)
     files = audio_files(spark, path).where(F.col("length") > 0).withColumn("recording_id", F.md5("content"))
     return transcribe(files, name="path")
@@ -357,3 +371,73 @@ def c30_last_write(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fieldloom.streaming.stateful import last_write
 
     return last_write(table(spark, sf_dir, "events"), "user_id", "event_type", "event_id")
+
+
+@query("""
+SELECT CAST(r_regionkey AS VARCHAR) AS value, r_name AS label, r_regionkey = 2 AS selected, CAST(row_number() OVER (ORDER BY r_name DESC) AS INTEGER) AS place FROM region
+UNION ALL SELECT '', 'None', false, 2147483647
+""")
+def c31_sensitivities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Options in their order, none last, the stored one selected."""
+    from fieldloom.operators.encounters import ordered, with_none
+
+    rows = ordered(table(spark, sf_dir, "region"), F.desc("r_name"))
+    return with_none(rows, "r_regionkey", "r_name", F.lit("2"), True)
+
+
+@query("""
+SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN 'Group Encounter Form' ELSE 'New Group Encounter Form' END AS heading,
+       c_mktsegment <> 'BUILDING' AS focus, c_mktsegment = 'BUILDING' OR c_nationkey = 0 AS buttons
+FROM customer
+""")
+def c32_form_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fieldloom.operators.encounters import buttons, mode
+
+    view = F.col("c_mktsegment") == "BUILDING"
+    rows = table(spark, sf_dir, "customer").withColumn("m", mode(view))
+    return rows.select("c_custkey", "m.heading", "m.focus", buttons(view, F.col("c_nationkey").cast("string")).alias("buttons"))
+
+
+@query("""
+SELECT 'all' AS flags, n_nationkey, (SELECT count(*) > 0 FROM nation) AS some FROM nation
+""")
+def c33_feature_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows behind feature flags, and whether there are any."""
+    from fieldloom.operators.encounters import any_rows, enabled
+
+    rows = table(spark, sf_dir, "nation").select("n_nationkey")
+    both = enabled(rows, True, True).withColumn("flags", F.lit("all")).unionByName(enabled(rows, True, False).withColumn("flags", F.lit("one")))
+    return both.crossJoin(F.broadcast(any_rows(rows)))  # one row
+
+
+@query("SELECT '{\"transcription\":' || to_json(r_name) || '}' AS body FROM region")
+def c34_response(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fieldloom.operators.sinks import response
+
+    return response(table(spark, sf_dir, "region").withColumnRenamed("r_name", "transcription"))
+
+
+@query("SELECT DISTINCT user_id FROM events WHERE event_type = 'click'")
+def c35_start_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fieldloom.streaming.stateful import start_once
+
+    return start_once(table(spark, sf_dir, "events").where("event_type = 'click'"), "user_id")
+
+
+@query("""
+SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'ready' WHEN o_orderpriority LIKE '1%' THEN NULL ELSE 'waiting' END AS status,
+       CASE WHEN o_orderstatus = 'F' THEN 'Target field: ' || o_orderpriority ELSE 'Target field: not available' END AS message,
+       CASE WHEN o_orderstatus = 'P' THEN 'right' ELSE 'left' END AS side,
+       '<option value="' || o_orderkey || '"' || CASE WHEN o_orderstatus = 'O' THEN ' selected' ELSE '' END || '>' || replace(o_orderpriority, '&', '&amp;') || '</option>' AS html
+FROM orders
+""")
+def c36_panel_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Status, message, side and option row of each order, taken as a panel's state."""
+    from fieldloom.operators.encounters import direction, option_html
+    from fieldloom.streaming.stateful import target_status
+
+    target = F.when(F.col("o_orderstatus") == "F", F.col("o_orderpriority"))
+    side = direction(F.when(F.col("o_orderstatus") == "P", "rtl").otherwise("ltr"))
+    html = option_html(F.col("o_orderkey").cast("string"), F.col("o_orderpriority"), F.col("o_orderstatus") == "O")
+    status = target_status(target, F.col("o_orderpriority").startswith("1"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", status.alias("status"), T.message(target).alias("message"), side.alias("side"), html.alias("html"))

@@ -22,30 +22,29 @@ def wait_for_target(events: DataFrame, key: str, ts: str, matches: Column, deadl
 
 def wait_for_target_stream(events: DataFrame, deadline_ms: int = DEADLINE_MS) -> DataFrame:
     """From a stream of key and matched: key and outcome, 'found' once on the first match, 'timeout' once if the
-    deadline passes before; later events of a key change nothing."""
+    deadline passes before; later events of a key change nothing. The deadline counts from the key's first batch and is
+    part of its state, so events without a match do not put it off."""
     from pyspark.sql.streaming.state import GroupStateTimeout
 
     def step(k: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        done = state.get[0] if state.exists else False
-        if state.hasTimedOut:
-            state.update((True,))
-            if not done:
-                yield pd.DataFrame({"key": [k[0]], "outcome": ["timeout"]})
-            return
-        hit = any(bool(p["matched"].any()) for p in parts)
+        now = state.getCurrentProcessingTimeMs()
+        done, until = state.get if state.exists else (False, now + deadline_ms)
+        hit = not state.hasTimedOut and any([bool(p["matched"].any()) for p in parts])
         if done:
             return
-        if hit:
-            state.update((True,))
-            yield pd.DataFrame({"key": [k[0]], "outcome": ["found"]})
-        elif not state.exists:
-            state.update((False,))
-            state.setTimeoutDuration(deadline_ms)
+        if hit and (now < until or not state.exists):
+            outcome = "found"
+        elif state.hasTimedOut or now >= until:
+            outcome = "timeout"
         else:
-            state.setTimeoutDuration(deadline_ms)
+            state.update((False, until))
+            state.setTimeoutDuration(until - now)
+            return
+        state.update((True, until))
+        yield pd.DataFrame({"key": [k[0]], "outcome": [outcome]})
 
     return events.groupBy("key").applyInPandasWithState(
-        step, "key string, outcome string", "done boolean", "append", GroupStateTimeout.ProcessingTimeTimeout
+        step, "key string, outcome string", "done boolean, until long", "append", GroupStateTimeout.ProcessingTimeTimeout
     )
 
 
@@ -111,6 +110,11 @@ def once(events: DataFrame, key: str, order: list[str]) -> DataFrame:
     return events.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
 
 
+def start_once(starts: DataFrame, key: str) -> DataFrame:
+    """Each key's start, whatever the number of starts: over a table, or over a stream, whose state has the keys."""
+    return starts.select(key).dropDuplicates([key])
+
+
 def coalesced_runs(events: DataFrame, key: str, ts: str, seconds: float) -> DataFrame:
     """key, run, started (seconds): runs that a watcher makes of events at `ts` (seconds from its own start, when it
     runs once): at most one runs and one waits, so any number of events during a run make one more. A fold over each

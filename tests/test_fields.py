@@ -1,18 +1,21 @@
 """Field targeting on pages with forms, and scalars at their edges."""
 
+import time
+
+import pytest
 from pyspark.sql import functions as F
 
 from fieldloom.functions import geometry, state_json
 from fieldloom.functions import text as T
-from fieldloom.operators import candidates, encounters, transcribe
+from fieldloom.operators import candidates, encounters, sinks, transcribe
 from fieldloom.sources.elements import elements, parse
 from fieldloom.streaming import stateful
 
-CONTACT = """<!DOCTYPE html><form><input name=name id=name placeholder="Patient name">
-<label for=reason>Reason for Contact</label><textarea name=reason id=reason placeholder="Describe the reason for contact"></textarea>
-<select name=urgency><option>low<option>high</select></form>"""
-INTAKE = """<form><input name=dob id=dob placeholder=YYYY-MM-DD><label for=reason>Reason for Visit</label>
-<textarea name=reason id=reason aria-label="Reason for Visit"></textarea><label for=notes>Extra Notes</label><textarea name=notes id=notes></textarea></form>"""
+CONTACT = """<!DOCTYPE html><form><input name=caller placeholder="Who called">
+<label for=why>Grounds for the call, a visit or not</label><textarea name=reason id=why placeholder="A few words"></textarea>
+<select name=when><option>today<option>later</select></form>"""
+INTAKE = """<form><input name=arrived placeholder="Time of arrival"><label for=main>Reason for visit</label>
+<textarea name=reason id=main></textarea><label for=more>Anything else</label><textarea name=more id=more></textarea></form>"""
 NEGATIVE = "<form><textarea name=message id=message></textarea><input type=email name=email id=email></form>"
 GROUP = """<form><fieldset><legend>Reason for Visit - AI TEST</legend><textarea name=reason id=reason></textarea></fieldset></form>"""
 PARTIAL = GROUP.replace("<form>", "").replace("</form>", "")
@@ -29,7 +32,7 @@ def test_scan_scores(spark):
     found = {r.page_id: (r.score, r.description, r.selector_hint) for r in candidates.best(rows).collect()}
     hint = "textarea#reason#reason"
     assert found == {
-        0: (170, "reason for contact", hint), 1: (290, "reason for visit", hint),
+        0: (190, "grounds for the call, a visit or not", "textarea#reason#why"), 1: (290, "reason for visit", "textarea#reason#main"),
         3: (290, "reason for visit - ai test", hint), 4: (285, "reason for visit - ai test", hint),
     }
 
@@ -111,3 +114,75 @@ def test_change_stream_equals_batch(spark, tmp_path):
     q.stop()
     got = {tuple(r) for r in spark.table("changed").collect()}
     assert got == {tuple(r) for r in stateful.changes(df, "key", "seq", "value").collect()}
+
+
+def test_live_finder_passes_over_its_own_field(spark):
+    own = '<textarea class="x transcript-preview" name=reason></textarea><textarea id=reason></textarea>'
+    both = '<textarea class=transcript-preview id=reason></textarea><textarea class=transcript-preview name=reason></textarea>'
+    got = candidates.find_live(elements(pages(spark, own, both, '<input id=reason>', HIDDEN.replace("div", "p")))).collect()
+    assert {r.page_id: r.node_index for r in got} == {0: 1}
+
+
+def test_missing_parameter(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "")], "id long, name string")
+    assert encounters.point_lookup(df, "id", None, ["name"]).collect() == []
+    assert [r.id for r in encounters.point_lookup(df, "name", None, ["id"]).collect()] == [2]
+    assert [r.name for r in encounters.point_lookup(df, "id", "1", ["name"]).collect()] == ["a"]
+
+
+def test_none_option(spark):
+    df = spark.createDataFrame([("low", "Low", 1), ("high", "High", 2)], "v string, l string, place int")
+    chosen = lambda stored, view: [r.value for r in encounters.with_none(df, "v", "l", F.lit(stored).cast("string"), view).orderBy("place").collect() if r.selected]
+    assert [chosen(s, True) for s in ("high", "", None, "0", "other")] == [["high"], [""], [""], [""], []]
+    assert chosen("high", False) == chosen("", False) == []
+
+
+def test_fingerprint_counts_repeats(spark):
+    of = lambda *v: sinks.fingerprint(spark.createDataFrame([(x,) for x in v], "x string"))
+    assert of("a", "a", "b") != of("c", "c", "b") and of("a", "b") == of("b", "a") and of("a", "a", "b") != of("a", "b", "b")
+
+
+def test_snapshot(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "x").write_text("new")
+    (tmp_path / "b").mkdir()
+    (tmp_path / "b" / "y").write_text("old")
+    with pytest.raises(FileNotFoundError):
+        sinks.snapshot(spark, str(tmp_path / "none"), str(tmp_path / "b"))
+    assert (tmp_path / "b" / "y").exists()
+    sinks.snapshot(spark, str(tmp_path / "a"), str(tmp_path / "b"))
+    assert [p.name for p in (tmp_path / "b").iterdir() if not p.name.endswith(".crc")] == ["x"]
+
+
+def test_a_backend_is_made_once_a_process(spark, tmp_path):
+    rows = spark.createDataFrame([(str(i), b"x") for i in range(16)], "recording_id string, content binary").repartition(8)
+    folder = str(tmp_path)
+
+    def factory():
+        import os
+        import uuid
+
+        open(f"{folder}/{os.getpid()}-{uuid.uuid4().hex}", "w").close()
+        return lambda path: "text"
+
+    for _ in range(2):
+        assert transcribe.transcribe(rows, factory).count() == 16
+    made = [p.name.split("-")[0] for p in tmp_path.iterdir()]
+    assert made and len(made) == len(set(made))
+
+
+def test_a_busy_key_times_out(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    schema = "key string, matched boolean"
+    stream = spark.readStream.schema(schema).json(str(tmp_path / "in"))
+    q = stateful.wait_for_target_stream(stream, 3000).writeStream.format("memory").queryName("waited").outputMode("append").start()
+    put = lambda i, line: (tmp_path / f"{i}").write_text(line) and (tmp_path / f"{i}").rename(tmp_path / "in" / f"{i}.json")
+    put(0, '{"key":"b","matched":true}')
+    rows = lambda: {tuple(r) for r in spark.table("waited").collect()}
+    until, i = time.time() + 60, 0
+    while time.time() < until and ("a", "timeout") not in rows():
+        i += 1
+        put(i, '{"key":"a","matched":false}')
+        time.sleep(0.4)
+    q.stop()
+    assert rows() == {("b", "found"), ("a", "timeout")}
