@@ -12,27 +12,37 @@ from fieldloom.llm.common import Scratch
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that base rules and adaptive thresholds keep."""
+    """The documents that base rules and adaptive thresholds keep. Null and empty texts fail; repeated rows are judged
+    each; a tie with a threshold is kept; very long texts are judged whole; an empty table stays empty; other columns
+    stay, whatever their names (see quality.keep_good)."""
     return quality.keep_good(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that links of 80 % of the five-word shingles make."""
+    """One document of each group that links of 80 % of the five-word shingles make, that with the smallest doc_id,
+    nulls last, then the first by text. Texts without words all stay; of repeated rows one stays; very long texts are
+    compared whole; an empty table stays empty; other columns stay, whatever their names (see ngram_join.keep_first)."""
     return ngram_join.keep_first(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with personal data, and terms that disclose it, replaced by its kind."""
+    """The documents with personal data, credentials, and terms that disclose them, replaced by their kind. A null text
+    stays null; repeated rows are treated alike; very long texts are scrubbed whole; an empty table stays empty; other
+    columns stay, whatever their names (see pii.scrub)."""
     return pii.scrub(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents as often as their source's target asks for."""
+    """The documents as often as their source's target asks for, ties by a seeded hash. Texts without words are left
+    out; repeated rows share what is taken of them; a null source is one of its own; a very long text is taken whole or
+    not at all; an empty table stays empty; other columns stay, whatever their names (see mixing.repeated)."""
     return mixing.repeated(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document's token pieces with their places in sequences of 2,048 tokens."""
+    """Every document's token pieces with their places in sequences of 2,048 tokens. A null or empty text is one piece
+    of the end token; repeated rows are packed each; pieces of one length are interchangeable; a very long text is cut
+    into pieces; an empty table gives an empty result; other columns are not read (see packing.pack)."""
     return packing.pack(docs)
 
 

@@ -142,16 +142,18 @@ def mix(
 
 
 def repeated(docs: DataFrame, seed: int = 17, **options) -> DataFrame:
-    """docs, all its columns, each row as often as the mix takes it; rows taken 0 times are left out. Rows that agree
-    in doc_id and text share what the mix takes of them evenly."""
+    """docs, all its columns, whatever their names, each row as often as the mix takes it; rows taken 0 times are left
+    out, and so are rows without words, a null text among them. Rows that agree in doc_id and text, repeated or not,
+    share what the mix takes of them evenly; a null doc_id or source is a value like any other; ties go by a seeded
+    hash; a very long text is one document, taken whole or not at all; an empty table gives an empty result."""
     times = mix(docs, seed=seed, **options).groupBy("_key").agg(F.sum("times").alias("_times"), F.count(F.lit(1)).alias("_rows"))
     times = cut(times.where("_times > 0"))
-    rows = docs.withColumn("_own", seeded(seed)).join(checked(times), F.col("_own") == F.col("_key"))
+    rows = docs.select(F.struct(*docs.columns).alias("_doc"), seeded(seed).alias("_own")).join(checked(times), F.col("_own") == F.col("_key"))
     once = rows.where("_rows = 1")
     if times.where("_rows > 1").limit(1).count():
-        nth = F.row_number().over(Window.partitionBy("_own").orderBy("doc_id"))
+        nth = F.row_number().over(Window.partitionBy("_own").orderBy("_doc.doc_id"))
         some = rows.where("_rows > 1").withColumn("_nth", nth)
         some = some.withColumn("_times", F.expr("_times div _rows + if(_nth <= _times % _rows, 1L, 0L)")).drop("_nth")
         once = once.unionByName(some.where("_times > 0"))
     again = F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))
-    return once.withColumn("_again", again).select(*docs.columns)
+    return once.withColumn("_again", again).select("_doc.*")

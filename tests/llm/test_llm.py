@@ -337,3 +337,91 @@ def test_components_at_once_and_with_more_edges(spark, kind):
     at = components(frame(edges))
     assert sets(at) == _joined_sets(edges)
     assert sets(joined(at, frame(more))) == _joined_sets(edges + more)
+
+
+CLASHES = ("_text", "_h", "_own", "_key", "_times", "_rows", "_nth", "_again", "_doc", "doc", "key", "root", "first", "_gone", "n")
+
+
+def test_stages_keep_columns_of_any_name(docs):
+    clash = docs.withColumns({c: F.lit(i) for i, c in enumerate(CLASHES)})
+    for stage in (quality.keep_good, ngram_join.keep_first, pii.scrub, mixing.repeated):
+        plain, got = stage(docs), stage(clash)
+        assert got.columns == clash.columns, stage
+        assert sorted(map(repr, got.select(*docs.columns).collect())) == sorted(map(repr, plain.collect())), stage
+        assert {tuple(r) for r in got.select(*CLASHES).collect()} <= {tuple(range(len(CLASHES)))}, stage
+
+
+PLAIN = {
+    "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), "ip": re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
+    "card": re.compile(r"[0-9]([\x20-]?[0-9])+"), "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
+}
+
+
+def plain_spans(text):
+    def good(kind, m):
+        d = [int(c) for c in m if c.isdigit() and c.isascii()]
+        luhn = sum(x if i % 2 == 0 else x * 2 - 9 * (x > 4) for i, x in enumerate(reversed(d))) % 10 == 0
+        return {"email": True, "ip": kind == "ip" and all(int(x) <= 255 for x in m.split(".")), "card": 13 <= len(d) <= 19 and luhn, "phone": 9 <= len(d) <= 15}[kind]
+
+    return [(k, m.start(), m.end()) for k, p in PLAIN.items() for m in p.finditer(text or "") if good(k, m[0])]
+
+
+def test_base_spans_against_plain_patterns(spark):
+    draw = random.Random(3)
+    parts = ["a@b.c", "@", ".", "-", " ", "+1", "255", "256", "4111111111111111", "0", "7", "x", "é", "+44 (20) 7946-0958", "_%", "\n", "12.34.56.78", "a1"]
+    rows = [(i, "".join(draw.choice(parts) for _ in range(draw.randrange(14)))) for i in range(1500)] + [(9000, None)]
+    for r in pii.report(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        want = plain_spans(dict(rows)[r.doc_id])
+        said = ",".join(f"{k}:{a}:{b}" for k, a, b in want)
+        assert r.base_sha256 == hashlib.sha256(said.encode()).hexdigest(), (dict(rows)[r.doc_id], want, r.spans)
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == x[0] for x in want) for k in PLAIN]
+
+
+def test_credentials(spark):
+    token = "9b0b3c6a43eb78aa99cbd7049c572391524f37a8"
+    rows = [(1, f'the token = "{token}" here'), (2, "aaaaaaaaaaaaaaaaaaaaaaaa1"), (3, "averylongwordwithoutanydigits"), (4, "1234567890123456789012")]
+    got = {r.doc_id: r for r in pii.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert f"secret:13:{13 + len(token)}" in got[1].spans and [got[i].n_secret for i in (1, 2, 3, 4)] == [1, 0, 0, 0] and got[1].n_found == 1
+
+
+def test_plan_needs_no_more_than_a_plain_best_fit():
+    draw = random.Random(8)
+    for capacity in (12, 100):
+        lengths = [draw.randrange(1, capacity + 1) for _ in range(400)]
+        counts = {n: lengths.count(n) for n in set(lengths)}
+        room, seen = {}, {n: set() for n in counts}
+        for length, rank, first, each, offset in packing.plan(counts, capacity).tolist():
+            last = min([r[1] for r in packing.plan(counts, capacity).tolist() if r[0] == length and r[1] > rank], default=counts[length])
+            for k in range(last - rank):
+                at = first + k // each
+                room.setdefault(at, []).append((offset + k % each * length, length))
+                seen[length].add(rank + k)
+        assert {n: len(s) for n, s in seen.items()} == counts
+        for used in room.values():
+            end = 0
+            for offset, length in sorted(used):
+                assert offset == end
+                end += length
+            assert end <= capacity
+        bins = []
+        for n in sorted(lengths, reverse=True):
+            fits = [i for i, b in enumerate(bins) if b >= n]
+            if fits:
+                bins[min(fits, key=lambda i: bins[i])] -= n
+            else:
+                bins.append(capacity - n)
+        assert len(room) <= 1.02 * len(bins) + 1
+
+
+def test_long_texts_are_tokenised_whole():
+    words = packing.word_ids(packing.default_path())
+    text = " ".join(f"word{i % 977}, Other{i % 31}" for i in range(40_000)) + "\n" + "z" * 300_000
+    assert words([text])[0] == words._whole(text)
+
+
+def test_quality_thresholds_shrink_and_do_not_clip(spark):
+    rows = [(i, " ".join(["word"] * 0 + [f"w{j}x{i}" for j in range(40)]), "en", "s", 0, 0) for i in range(80)]
+    rows.append((900, " ".join("y" * 5000 + str(j) for j in range(20)), "en", "s", 0, 0))
+    rows.append((901, " ".join("y" * 5000 + str(j) for j in range(20)), "fr", "t", 0, 0))
+    got = {r.doc_id: r for r in quality.report(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert not got[900].kept and not got[900].base_failed and got[5].kept
