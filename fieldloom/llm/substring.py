@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from fieldloom.llm import shingles
 from fieldloom.llm.common import WORD, Scratch, bit_filter, checked, cut, log_size, partitions, passes, release
+from fieldloom.llm.components import components, joined
 
 #: Words of the shortest passage, and hash functions.
 PASSAGE, HASHES = 50, 4
@@ -19,8 +20,8 @@ PERCENT = 80
 FILTER_LOG = 27
 #: Windows of a key that are compared at a time, and of them those that are looked up at a time.
 BLOCK, ASKED = 4096, 128
-#: Marks the rows that say which windows are open.
-OPEN = -2
+#: Marks the rows that say which windows are compared: open ones, and others that only look for other classes.
+OPEN, CLOSED = -2, -3
 #: Every STEP-th shingle on both sides of a window's smallest one stands for the window in comparisons.
 STEP = 3
 #: Rows of lists of runs that may be broadcast.
@@ -172,10 +173,22 @@ def spread(length: int) -> int:
 
 def near_windows(docs: DataFrame, length: int, hashes: int, reach: int, bits, asks) -> DataFrame:
     """key, doc, c, from_, near: for each window whose key has its bit in `bits`, 32 bits each of every STEP-th shingle
-    on both sides of c (from_ is -1; 0 where the text has none), once where a text repeats them; and again, if it has its bit in `asks`, 32 bits each of
+    on both sides of c (from_ is -1; 0 where the text has none, and behind them others() of them), once where a text repeats them; and again, if it has its bit in `asks`, 32 bits each of
     all shingles up to `reach` places from c, of which the first is at from_."""
     names = ["key", "doc", "c", "from_", "near"]
     offsets = np.arange(-spread(length), spread(length) + 1) * STEP
+    around = np.arange(-reach, reach + 1)
+
+    def others(few: np.ndarray, low: np.ndarray, place: np.ndarray, size: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
+        """What else is up to `reach` places from a window's smallest shingle, behind a 0, of those lists that say few
+        different shingles; nothing of the rest."""
+        out = [np.zeros(0, np.int32)] * len(few)
+        order = np.sort(few, axis=1)
+        for i in np.flatnonzero((order[:, 1:] != order[:, :-1]).sum(axis=1) < spread(length)).tolist():
+            at = place[i] + around
+            all_ = np.unique(low[first[i] + at[(at >= 0) & (at <= size[i])]])
+            out[i] = np.concatenate([np.zeros(1, np.int32), all_[~np.isin(all_, few[i])]])
+        return out
 
     def batch(cols: list[np.ndarray], values: np.ndarray, ends: np.ndarray) -> pa.RecordBatch:
         lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values))
@@ -197,7 +210,9 @@ def near_windows(docs: DataFrame, length: int, hashes: int, reach: int, bits, as
                     values = np.where(there, low[place], np.int32(0)).reshape(len(t), -1)
                     one = once(key, doc, values)
                     cols = [key[one], doc[one], c[one].astype(np.int32), np.full(len(one), -1, np.int32)]
-                    yield batch(cols, values[one].ravel(), np.arange(len(one) + 1) * len(offsets))
+                    more = others(values[one], low, c[one], size[one], first[t[one]])
+                    parts = [v for two in zip(values[one], more, strict=True) for v in two]
+                    yield batch(cols, np.concatenate([*parts, values[:0].ravel()]), np.concatenate([[0], np.cumsum([len(offsets) + len(v) for v in more])]))
                     if ask.any():
                         lo, hi = np.maximum(0, c - reach)[ask], np.minimum(size, c + reach)[ask]
                         ends = np.concatenate([[0], np.cumsum(hi - lo + 1)])
@@ -473,64 +488,135 @@ def together(found: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "doc long, s long, e long, other long, os long, oe long")
 
 
-def alike(near: list[np.ndarray], few: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def alike(near: list[np.ndarray], few: np.ndarray, whole: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Indices (of lists, of rows) that may have a run of `length` shingles round their smallest one in common but for
-    one word, or two words put in. near: all shingles round windows; few: every STEP-th of other windows, 0 for none.
+    one word, or two words put in, and how many they share. near: all shingles round windows; few: every STEP-th of
+    other windows, 0 for none.
 
     A run of `length` holds a stretch of spread + 1 of these, and the up to length - need + 1 shingles next to each
-    other that are not in both are so many less (see verified())."""
-    n = spread(length) + 1
+    other that are not in both are so many less (see verified()). A row of few that is `whole` is followed by what else is near
+    it, so that the lists' own stretches of `length` can be held against it: a line that is said many times on end fills
+    the row of one text, but not the list of another that says it a few times."""
+    n, width, least = spread(length) + 1, 2 * spread(length) + 1, shared(length, PERCENT)
     need = n - -(-(length - shared(length, PERCENT) + 1) // STEP)
     for x in range(0, len(near), ASKED):
         some = near[x : x + ASKED]
         ids, flat = np.unique(np.concatenate(some), return_inverse=True)
         has = np.zeros((len(ids) + 1, len(some)), np.uint8)
-        has[flat, np.repeat(np.arange(len(some)), list(map(len, some)))] = 1
+        sizes = np.array([len(v) for v in some])
+        has[flat, np.repeat(np.arange(len(some)), sizes)] = 1
+        place = np.full((len(some), max(sizes.max(), length)), len(ids))
+        place[np.arange(place.shape[1]) < sizes[:, None]] = flat
         at = np.searchsorted(ids, few)
         at[(few == 0) | (ids[np.minimum(at, len(ids) - 1)] != few)] = len(ids)
         for y in range(0, len(few), 4 * ASKED):
-            sums = np.cumsum(has[at[y : y + 4 * ASKED]], axis=1, dtype=np.uint8)
+            sums = np.cumsum(has[at[y : y + 4 * ASKED, :width]], axis=1, dtype=np.uint8)
             most = sums[:, n - 1]
-            for i in range(n, few.shape[1]):
+            for i in range(n, width):
                 most = np.maximum(most, sums[:, i] - sums[:, i - n])
             them, mine = np.nonzero(most >= need)
-            yield x + mine, y + them
-
-
-def open_regions(docs: DataFrame, rows: DataFrame, ends: DataFrame, done: DataFrame, length: int, hashes: int, scratch: Scratch) -> DataFrame:
-    """doc, s, e, other, os, oe: candidates for every window whose smallest shingle no passage in `done` (doc, s, e)
-    holds: every window with its key whose shingles nearby may make a passage with its own. `ends` has the number m of
-    windows of each key. A key's open windows and all its windows are compared in blocks of about BLOCK each, so of all
-    its windows only the open ones go to more than one task, unless these are more than a block."""
-    spark, reach = docs.sparkSession, length + length // 3
+            if not len(them):
+                continue
+            its = np.zeros((len(most), len(ids) + 1), bool)
+            its[np.arange(len(most))[:, None], at[y : y + 4 * ASKED]] = True
+            its[:, -1] = False
+            fit = ~whole[y + them]
+            known = np.flatnonzero(~fit)
+            for z in range(0, len(known), BLOCK):
+                i = known[z : z + BLOCK]
+                back = np.cumsum(its[them[i, None], place[mine[i]]], axis=1, dtype=np.uint8)
+                fit[i] = np.maximum(back[:, length - 1], (back[:, length:] - back[:, :-length]).max(axis=1, initial=0)) >= least
+            them, mine = them[fit], mine[fit]
+            # the shared ones of the whole list tell apart what has the same best stretch
+            yield x + mine, y + them, most[them, mine].astype(np.int64) << 8 | sums[them, -1, mine]
+
+
+def best(mine: np.ndarray, them: np.ndarray, score: np.ndarray, open_: np.ndarray, ours: np.ndarray, its: np.ndarray) -> np.ndarray:
+    """Which of the pairs (mine, them) of a group to try first: the highest score of each open window, and a forest of
+    pairs that joins the classes (ours and its) that all pairs would, those of the highest scores."""
+    order = np.lexsort((them, -score, mine))
+    new = np.concatenate([[True], mine[order][1:] != mine[order][:-1]])[: len(order)]
+    one = order[new & open_[order]]
+    lo, hi = np.minimum(ours, its), np.maximum(ours, its)
+    order = np.lexsort((them, mine, -score, hi, lo))
+    order = order[lo[order] != hi[order]]
+    new = np.concatenate([[True], (lo[order][1:] != lo[order][:-1]) | (hi[order][1:] != hi[order][:-1])])[: len(order)]
+    order = order[new]
+    order = order[np.argsort(-score[order], kind="stable")]
+    up: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (y := up.get(x, x)) != x:
+            up[x] = x = up.get(y, y)
+        return x
+
+    tree = []
+    for i, u, v in zip(order.tolist(), lo[order].tolist(), hi[order].tolist(), strict=True):
+        u, v = top(u), top(v)
+        if u != v:
+            up[u] = v
+            tree.append(i)
+    return np.union1d(one, np.array(tree, np.int64))
+
+
+def rooted(df: DataFrame, root: DataFrame, of: str, name: str) -> DataFrame:
+    """df with the class of its texts `of`: the root of what links have joined so far, the text itself without links."""
+    to = root.select(F.col("node").alias("_node"), F.col("root").alias("_root"))
+    return df.join(checked(to), df[of] == F.col("_node"), "left").withColumn(name, F.coalesce("_root", of)).drop("_node", "_root")
+
+
+def still_open(df: DataFrame, done: DataFrame) -> DataFrame:
+    """df (doc, c, ...) with `open`: whether no passage in `done` (doc, s, e) holds the window's smallest shingle."""
     lists = cut(done.groupBy("doc").agg(F.collect_set(F.struct("s", "e")).alias("runs")))
     inside = F.coalesce(F.exists("runs", lambda r: (r["s"] <= F.col("c")) & (F.col("c") <= r["e"])), F.lit(False))
-    left = rows.select("key", "doc", "c").join(checked(lists, WIDE), "doc", "left").where(~inside).join(ends.select("key"), "key", "left_semi")
+    return df.join(checked(lists, WIDE), "doc", "left").withColumn("open", ~inside).drop("runs")
+
+
+def unsettled(rows: DataFrame, ends: DataFrame, done: DataFrame, root: DataFrame, length: int) -> DataFrame:
+    """key, doc, c, open, main: the windows that are to be held against all others with their key. These are the open
+    ones, and, where a key's texts are of several classes, those of all classes but its largest one, `main`."""
+    rows = rooted(still_open(rows.select("key", "doc", "c"), done), root, "doc", "root").join(ends.select("key"), "key", "left_semi")
+    each = rows.repartition("key").groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"), F.max("open").alias("open"))
+    keys = each.groupBy("key").agg(F.max(F.struct("n", "root")).alias("top"), F.count(F.lit(1)).alias("k"), F.max("open").alias("some"))
+    keys = cut(keys.where("k > 1 or some").select("key", F.col("top.root").alias("main")))
+    left = rows.join(checked(keys), "key").where("open or root <> main").select("key", "doc", "c", "open", "main").distinct()
     places = Window.partitionBy("key", "doc").orderBy("c")
     beside = F.coalesce((F.lag("c").over(places) == F.col("c") - 1) & (F.lead("c").over(places) == F.col("c") + 1), F.lit(False))
-    left = left.select("key", "doc", "c").distinct().withColumn("beside", beside)
-    left = scratch.keep(left.where(f"not beside or c % {length} = 0").drop("beside"))  # as apart() does
+    return left.withColumn("beside", beside).where(f"not beside or c % {length} = 0").drop("beside")  # as apart() does
+
+
+def near_asked(docs: DataFrame, left: DataFrame, length: int, hashes: int, reach: int) -> DataFrame:
+    """The rows of near_windows() for the keys of the windows in `left`, and for these themselves."""
+    share = docs.sparkSession.sparkContext.broadcast
     size = log_size(left.count(), 14, FILTER_LOG - 5) + 5
-    bits = spark.sparkContext.broadcast(bit_filter(left, "key", size))
     one = left.select(F.col("key").bitwiseXOR(F.col("doc")).bitwiseXOR(F.col("c").cast("long")).alias("one"))
-    asks = spark.sparkContext.broadcast(bit_filter(one, "one", size))
+    return near_windows(docs, length, hashes, reach, share(bit_filter(left, "key", size)), share(bit_filter(one, "one", size)))
+
+
+def open_regions(near: DataFrame, left: DataFrame, root: DataFrame, ends: DataFrame, length: int, reach: int, every: bool, scratch: Scratch) -> DataFrame:
+    """doc, s, e, other, os, oe: candidates for the windows in `left` (see unsettled()) among the windows of other texts
+    with their key whose shingles nearby may make a passage with their own: for an open window any, for another one
+    those of other classes. With `every` all of them, else the best ones (see best()). `ends` has the number m of
+    windows of each key. A key's windows in `left` and all its windows are compared in blocks of about BLOCK each, so of
+    all its windows only those in `left` go to more than one task, unless these are more than a block."""
+    spark = near.sparkSession
     blocks = lambda n: F.expr(f"cast(({n} + {BLOCK - 1}) div {BLOCK} as int)")
-    asked = left.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    asked = cut(left.groupBy("key").agg(F.count(F.lit(1)).alias("n")))
     hot = ends.where(f"m > {BLOCK}").select("key", "m").join(asked, "key").select("key", blocks("m").alias("k"), blocks("n").alias("q"))
-    near = near_windows(docs, length, hashes, reach, bits, asks)
-    near = near.union(left.selectExpr("key", "doc", "c", f"{OPEN} as from_", "cast(null as array<int>) as near"))
-    near = near.join(checked(cut(hot)), "key", "left")
+    near = near.join(checked(asked.select("key")), "key", "left_semi")
+    near = near.union(left.selectExpr("key", "doc", "c", f"if(open, {OPEN}, {CLOSED}) as from_", "cast(null as array<int>) as near"))
+    near = rooted(near.join(checked(cut(hot)), "key", "left"), root, "doc", "root")
     near = near.withColumns({"k": F.expr("coalesce(k, 1)"), "q": F.expr("coalesce(q, 1)")})
-    near = near.withColumn("x", F.expr("if(from_ = -1, pmod(xxhash64(near), k), pmod(xxhash64(doc, c), q))").cast("int"))
+    near = near.withColumn("x", F.expr(f"if(from_ = -1, pmod(xxhash64(slice(near, 1, {2 * spread(length) + 1})), k), pmod(xxhash64(doc, c), q))").cast("int"))
     near = near.withColumn("y", F.explode(F.expr("sequence(0, if(from_ = -1, q, k) - 1)")))
-    near = near.selectExpr("key", "if(from_ = -1, x, y) as i", "if(from_ = -1, y, x) as j", "doc", "c", "from_", "near")
+    near = near.selectExpr("key", "if(from_ = -1, x, y) as i", "if(from_ = -1, y, x) as j", "doc", "c", "from_", "near", "root")
     dealt = near.repartition(partitions(spark), "key", "i", "j").sortWithinPartitions("key", "i", "j")
     names = ["doc", "s", "e", "other", "os", "oe", "shift"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found(table: pa.Table) -> pa.RecordBatch:
             group = np.stack([table.column(c).to_numpy() for c in ("key", "i", "j")], axis=1)
-            doc, c, lo = (table.column(x).to_numpy().astype(np.int64) for x in ("doc", "c", "from_"))
+            doc, c, lo, of = (table.column(x).to_numpy().astype(np.int64) for x in ("doc", "c", "from_", "root"))
             place = shingles.mix(doc.view(np.uint64)) + c.view(np.uint64)
             lists = table.column("near").combine_chunks()
             flat, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
@@ -538,22 +624,36 @@ def open_regions(docs: DataFrame, rows: DataFrame, ends: DataFrame, done: DataFr
             out = [np.zeros((0, 7), np.int64)]
             for first, last in zip([0, *edge], [*edge, len(group)], strict=True):
                 kind, known = lo[first:last], place[first:last]
-                if not (kind == OPEN).any():
+                if not (kind < -1).any():
                     continue
-                open_ = first + np.flatnonzero((kind >= 0) & np.isin(known, known[kind == OPEN]))
+                asks = first + np.flatnonzero((kind >= 0) & np.isin(known, known[kind < -1]))
                 all_ = first + np.flatnonzero(kind == -1)
-                if not len(open_) or not len(all_):
+                if not len(asks) or not len(all_):
                     continue
-                few = np.stack([flat[ends[r] : ends[r + 1]] for r in all_])
-                two = once(group[all_, 0], doc[all_], few, 2)  # one of them is of another document
+                open_ = np.isin(place[asks], known[kind == OPEN])
+                width = 2 * spread(length) + 1
+                few = np.stack([flat[ends[r] : ends[r] + width] for r in all_])
+                # of each class two texts with the same shingles: one of them is another text
+                two = once(shingles.mix(of[all_].view(np.uint64)).view(np.int64), doc[all_], few, 2)
                 all_, few = all_[two], few[two]
-                for mine, them in alike([flat[ends[r] : ends[r + 1]] for r in open_], few, length):
-                    mine, them = open_[mine], all_[them]
-                    other = doc[mine] != doc[them]
-                    mine, them = mine[other], them[other]
-                    hi = lo[mine] + (ends[mine + 1] - ends[mine]) - 1
-                    cols = [doc[mine], np.maximum(lo[mine], c[mine] - length + 1), np.minimum(hi, c[mine] + length - 1)]
-                    out.append(np.stack([*cols, doc[them], np.maximum(0, c[them] - reach), c[them] + reach, c[them] - c[mine]], axis=1))
+                long = ends[all_ + 1] - ends[all_]
+                its = np.zeros((len(all_), long.max()), few.dtype)
+                its[:, :width] = few
+                for n, r in enumerate(all_.tolist()):
+                    its[n, width : long[n]] = flat[ends[r] + width : ends[r + 1]]
+                pairs = []
+                for mine, them, score in alike([flat[ends[r] : ends[r + 1]] for r in asks], its, long > width, length):
+                    x, y = asks[mine], all_[them]
+                    use = (doc[x] != doc[y]) & (open_[mine] | (of[x] != of[y]))
+                    pairs.append(np.stack([mine[use], y[use], score[use]]))
+                at, them, score = np.concatenate(pairs, axis=1)
+                mine = asks[at]
+                if not every and len(at):
+                    some = best(mine, them, score, open_[at], of[mine], of[them])
+                    mine, them = mine[some], them[some]
+                hi = lo[mine] + (ends[mine + 1] - ends[mine]) - 1
+                cols = [doc[mine], np.maximum(lo[mine], c[mine] - length + 1), np.minimum(hi, c[mine] + length - 1)]
+                out.append(np.stack([*cols, doc[them], np.maximum(0, c[them] - reach), c[them] + reach, c[them] - c[mine]], axis=1))
             return pa.RecordBatch.from_arrays([pa.array(x) for x in np.concatenate(out).T], names)
 
         rest = None
@@ -573,22 +673,25 @@ def open_regions(docs: DataFrame, rows: DataFrame, ends: DataFrame, done: DataFr
 
 def repeated_passages(docs: DataFrame, words: int = PASSAGE, percent: int = PERCENT, hashes: int = HASHES) -> DataFrame:
     """Passages of `words` words or more that are in another document too, word for word or nearly: doc_id, start, end
-    (words of the text, end exclusive), other_id, other_start, other_end and similarity, the Jaccard coefficient of
-    the passages' five-word shingles, `percent` % or more.
+    (words of the text, end exclusive), other_id, other_start, other_end, similarity, the Jaccard coefficient of the
+    passages' five-word shingles, `percent` % or more, and class_id.
 
     The tokens are five-word shingles. Passages that share most of their shingles share most of their min-hashes, and
     so fall into compact windows with equal smallest shingles; a window's key is of that one and those on one side of
     it, which all similar passages have unchanged on one side or the other (see side()). Equal texts are one. Keys of
     one text only are left out by a first aggregation. In a key's group each text is held against the first one, and
-    that against the last, so a passage that many share makes one pair a text. A window whose smallest shingle no
-    verified passage holds then is held against every other window with its key, in blocks, by every third
-    shingle nearby (of a word said many times on end, at those of its places that a run of `words` cannot miss); so
-    every passage has a row with one other document at least, and need not have one with each. Stretches of runs on which a hash function agrees are verified on the
-    shingles themselves. Two passages of 50 words and similarity 0.8 have each smallest shingle in common with
-    probability 0.8, one of four with 0.998; equal ones always.
-
-    Every document of a text has that text's rows, in which other_id is the smallest doc_id with the other text; and
-    if a text has several documents, each has a row for the whole text with the smallest other doc_id. Null and short
+    that against the last, so a passage that many share makes one pair a text. Links make classes of texts. A window is
+    then held against every other window with its key, in blocks, by every third shingle nearby (of a word said many
+    times on end, at those of its places that a run of `words` cannot miss), if no verified passage holds its smallest
+    shingle, or if its class is not the largest one of its key's: first the best candidates are verified, and what that
+    leaves open or apart with all. So every passage has a row with one other document at least, and need not have one
+    with each; texts that share a passage are in one class. Stretches of runs on which a hash function agrees are
+    verified on the shingles themselves. Two passages of 50 words and similarity 0.8 have each smallest shingle in
+    common with probability 0.8, one of four with 0.998; equal ones always.
+
+    Of the documents of a text, the one with the smallest doc_id has the text's rows, in which other_id is the smallest
+    doc_id with the other text; and each has a row for the whole text with the smallest other doc_id. class_id is the
+    smallest doc_id that links reach. Null and short
     texts have no passage; documents without a doc_id take no part; rows that share a doc_id are told apart by their
     text, and repeated rows are one document; repeats inside a document are not reported; of equally similar passages
     all are; a very long text is read whole, by one task; an empty table gives an empty result; columns other than
@@ -616,19 +719,34 @@ def repeated_passages(docs: DataFrame, words: int = PASSAGE, percent: int = PERC
         release(spark)
         first = scratch.keep(similar_parts(docs, least, found, length, percent, scratch))
         release(spark)
-        done = first.selectExpr("doc_id as doc", "start as s", f"end - {shingles.WORDS} as e")
-        rest = open_regions(docs, rows, ends, done, length, hashes, scratch)
+        spans = lambda df: df.selectExpr("doc_id as doc", "start as s", f"end - {shingles.WORDS} as e")
+        links = lambda df: df.selectExpr("doc_id as a", "other_id as b")
+        both, reach = first, length + length // 3
+        root = components(links(first))
+        left = scratch.keep(unsettled(rows, ends, spans(first), root, length))
+        near = scratch.keep(near_asked(docs, left, length, hashes, reach))
         release(spark)
-        both = first.union(similar_parts(docs, least, rest, length, percent, scratch)).distinct()
+        for every in (False, True):
+            rest = open_regions(near, left, root, ends, length, reach, every, scratch)
+            release(spark)
+            more = scratch.keep(similar_parts(docs, least, rest, length, percent, scratch))
+            release(spark)
+            both, root = both.union(more), joined(root, links(more))
+            if not every:
+                left = rooted(rooted(still_open(left.drop("open"), spans(both)), root, "doc", "root"), root, "main", "main")
+                left = scratch.keep(left.where("open or root <> main").select("key", "doc", "c", "open", "main"))
+        both = both.distinct()
         other = least.select(F.col("doc").alias("other_id"), "least")
         both = both.join(checked(other), "other_id").drop("other_id").withColumnRenamed("least", "other_id")
-        of = names.select("doc", F.col("doc_id").alias("own"))
-        both = both.join(of, both["doc_id"] == of["doc"]).drop("doc_id", "doc").withColumnRenamed("own", "doc_id")
+        own = least.select(F.col("doc").alias("doc_id"), F.col("least").alias("own"))
+        both = both.join(checked(own), "doc_id").withColumnRenamed("doc_id", "doc").withColumnRenamed("own", "doc_id")
         many = docs.join(checked(least.where("m > 1")), "doc").where("doc_id = least")
         many = cut(many.select("doc", "least", F.regexp_count("text", F.lit(WORD)).cast("long").alias("n")).distinct())
         copies = names.join(checked(many.where(f"n >= {words}")), "doc")  # words of the copied texts only are counted
         second = copies.where("doc_id <> least").groupBy("doc").agg(F.min("doc_id").alias("second"))
         copies = copies.join(checked(cut(second)), "doc").withColumn("o", F.expr("if(doc_id = least, second, least)"))
-        same = copies.select("doc_id", F.lit(0).cast("long").alias("start"), F.col("n").alias("end"), F.col("o").alias("other_id"),
+        same = copies.select("doc", "doc_id", F.lit(0).cast("long").alias("start"), F.col("n").alias("end"), F.col("o").alias("other_id"),
                              F.lit(0).cast("long").alias("other_start"), F.col("n").alias("other_end"), F.lit(1.0).alias("similarity"))
-        return cut(both.select(*same.columns).union(same))
+        out = rooted(both.select(*same.columns).union(same), root, "doc", "root")
+        smallest = rooted(least, root, "doc", "root").groupBy("root").agg(F.min("least").alias("class_id"))
+        return cut(out.join(checked(cut(smallest)), "root").drop("root", "doc"))
