@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +16,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows that a side of a join may have to be broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 400_000
+#: The C library's malloc_trim, where it has one.
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -41,6 +45,14 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def trim() -> None:
+    """Hands the memory that this process has freed back to the system, at the end of a worker's task: the worker
+    outlives it, and waits beside those of later stages."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
 class Scratch:
     """Parquet tables in the shared folder for the steps inside one operator; they go when the block ends."""
 

@@ -8,6 +8,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from fieldloom.llm.common import trim
+
 #: Words of a shingle, and bytes of text that are hashed at a time.
 WORDS, CHUNK = 5, 1 << 21
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -43,8 +45,9 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def forget() -> None:
-    """Lets go of the powers that a long text needed; a worker outlives its task."""
-    _powers[:] = [p[: CHUNK + 1].copy() if len(p) > CHUNK + 1 else p for p in _powers]
+    """Lets go of the powers; a worker outlives its task."""
+    _powers[:] = [p[:1].copy() for p in _powers]
+    trim()
 
 
 def word_hashes(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -58,7 +61,11 @@ def word_hashes(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nd
     ends = np.flatnonzero(~space & (np.concatenate([space[1:], [True]]) | edge[1:])) + 1
     up, down = _power(len(data) + 1)
     total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * up[: len(data)], out=total[1:])
+    for at in range(0, len(data), CHUNK // 16):  # in parts, so that no array beside it is as long
+        part = total[at + 1 : at + 1 + CHUNK // 16]
+        np.take(_BYTE, data[at : at + CHUNK // 16], out=part)
+        part *= up[at : at + len(part)]
+    np.cumsum(total, out=total)
     hashes = mix((total[ends] - total[starts]) * down[starts] ^ (ends - starts).astype(np.uint64) * _STEP)
     return hashes, np.searchsorted(starts, bounds)
 

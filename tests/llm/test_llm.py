@@ -3,13 +3,15 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from fieldloom.llm import components, langid, mixing, ngram_join, packing, pii, quality, sharding, substring, topk, urlfilter
+from fieldloom.llm import components, langid, mixing, ngram_join, packing, pii, quality, sharding, shingles, substring, topk, urlfilter
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size int"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -313,6 +315,17 @@ def test_passages_of_settled_windows_are_one_class(spark):
     assert len([r for r in got if r.doc_id >= 5000]) == 6
 
 
+def test_a_waiting_worker_keeps_no_tables_of_shingles():
+    text = pa.array([" ".join(f"w{i % 977}" for i in range(400_000))])
+    tracemalloc.start()
+    sizes = [len(s) for _, s, _ in shingles.runs(text)]
+    shingles.forget()
+    kept = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert sizes == [400_000 - shingles.WORDS + 1]
+    assert kept < 1 << 20, kept
+
+
 def test_pipeline(spark, tmp_path, docs):
     import corpus_pipeline
 
