@@ -488,7 +488,7 @@ def together(found: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "doc long, s long, e long, other long, os long, oe long")
 
 
-def alike(near: list[np.ndarray], few: np.ndarray, whole: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def alike(near: list[np.ndarray], few: np.ndarray, whole: np.ndarray, ours: np.ndarray, its_: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Indices (of lists, of rows) that may have a run of `length` shingles round their smallest one in common but for
     one word, or two words put in, and how many they share. near: all shingles round windows; few: every STEP-th of
     other windows, 0 for none.
@@ -496,7 +496,8 @@ def alike(near: list[np.ndarray], few: np.ndarray, whole: np.ndarray, length: in
     A run of `length` holds a stretch of spread + 1 of these, and the up to length - need + 1 shingles next to each
     other that are not in both are so many less (see verified()). A row of few that is `whole` is followed by what else is near
     it, so that the lists' own stretches of `length` can be held against it: a line that is said many times on end fills
-    the row of one text, but not the list of another that says it a few times."""
+    the row of one text, but not the list of another that says it a few times. Only texts of one class (ours and its_)
+    are held so: of two classes none that could be linked is left out."""
     n, width, least = spread(length) + 1, 2 * spread(length) + 1, shared(length, PERCENT)
     need = n - -(-(length - shared(length, PERCENT) + 1) // STEP)
     for x in range(0, len(near), ASKED):
@@ -520,7 +521,7 @@ def alike(near: list[np.ndarray], few: np.ndarray, whole: np.ndarray, length: in
             its = np.zeros((len(most), len(ids) + 1), bool)
             its[np.arange(len(most))[:, None], at[y : y + 4 * ASKED]] = True
             its[:, -1] = False
-            fit = ~whole[y + them]
+            fit = ~whole[y + them] | (ours[x + mine] != its_[y + them])
             known = np.flatnonzero(~fit)
             for z in range(0, len(known), BLOCK):
                 i = known[z : z + BLOCK]
@@ -642,7 +643,7 @@ def open_regions(near: DataFrame, left: DataFrame, root: DataFrame, ends: DataFr
                 for n, r in enumerate(all_.tolist()):
                     its[n, width : long[n]] = flat[ends[r] + width : ends[r + 1]]
                 pairs = []
-                for mine, them, score in alike([flat[ends[r] : ends[r + 1]] for r in asks], its, long > width, length):
+                for mine, them, score in alike([flat[ends[r] : ends[r + 1]] for r in asks], its, long > width, of[asks], of[all_], length):
                     x, y = asks[mine], all_[them]
                     use = (doc[x] != doc[y]) & (open_[mine] | (of[x] != of[y]))
                     pairs.append(np.stack([mine[use], y[use], score[use]]))
