@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.llm import shingles
@@ -20,6 +20,8 @@ PERCENT = 80
 FILTER_LOG = 27
 #: Windows of a key that are compared at a time, and of them those that are looked up at a time.
 BLOCK, ASKED = 4096, 128
+#: Windows whose shingles are sorted at a time to find those that others have.
+PART = 1024
 #: Marks the rows that say which windows are compared: open ones, and others that only look for other classes.
 OPEN, CLOSED = -2, -3
 #: Every STEP-th shingle on both sides of a window's smallest one stands for the window in comparisons.
@@ -150,9 +152,8 @@ def apart(key: np.ndarray, text: np.ndarray, c: np.ndarray, length: int) -> np.n
 def once(key: np.ndarray, doc: np.ndarray, few: np.ndarray, docs: int = 0) -> np.ndarray:
     """Indices of rows, one of each key, document and list of shingles. With `docs` that many documents of each key and
     list. Lists of every STEP-th shingle that are equal come from equal words, as a shingle has more words than STEP."""
-    text = np.zeros(len(key), np.uint64)
-    for x in few.T:
-        text = shingles.mix(text + x.astype(np.uint64))
+    place = np.arange(1, few.shape[1] + 1, dtype=np.uint64) << np.uint64(32)
+    text = shingles.mix(few.view(np.uint32).astype(np.uint64) | place).sum(axis=1, dtype=np.uint64)
     text = shingles.mix(text + key.view(np.uint64))
     order = np.lexsort((doc, text))
     text, doc = text[order], doc[order]
@@ -171,56 +172,92 @@ def spread(length: int) -> int:
     return length // STEP - 1
 
 
+def sampled(flat: np.ndarray, ends: np.ndarray, rows: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """Every STEP-th shingle on both sides of place `at` in the lists flat[ends[r]:ends[r + 1]] of `rows`; 0 for none."""
+    place = at[:, None] + np.arange(-spread(length), spread(length) + 1) * STEP
+    there = (place >= 0) & (place < (ends[rows + 1] - ends[rows])[:, None])
+    return np.where(there, flat[np.where(there, place + ends[rows][:, None], 0)], flat.dtype.type(0))
+
+
 def near_windows(docs: DataFrame, length: int, hashes: int, reach: int, bits, asks) -> DataFrame:
-    """key, doc, c, from_, near: for each window whose key has its bit in `bits`, 32 bits each of every STEP-th shingle
-    on both sides of c (from_ is -1; 0 where the text has none, and behind them others() of them), once where a text repeats them; and again, if it has its bit in `asks`, 32 bits each of
-    all shingles up to `reach` places from c, of which the first is at from_."""
+    """key, doc, c, from_, near: for each window whose key has its bit in `bits`, 32 bits each of all shingles up to
+    `reach` places from its smallest one, c, of which the first is at from_. Of a text's windows with equal shingles
+    nearby (see once()) there is one, and those that have their bit in `asks`."""
     names = ["key", "doc", "c", "from_", "near"]
-    offsets = np.arange(-spread(length), spread(length) + 1) * STEP
-    around = np.arange(-reach, reach + 1)
-
-    def others(few: np.ndarray, low: np.ndarray, place: np.ndarray, size: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
-        """What else is up to `reach` places from a window's smallest shingle, behind a 0, of those lists that say few
-        different shingles; nothing of the rest."""
-        out = [np.zeros(0, np.int32)] * len(few)
-        order = np.sort(few, axis=1)
-        for i in np.flatnonzero((order[:, 1:] != order[:, :-1]).sum(axis=1) < spread(length)).tolist():
-            at = place[i] + around
-            all_ = np.unique(low[first[i] + at[(at >= 0) & (at <= size[i])]])
-            out[i] = np.concatenate([np.zeros(1, np.int32), all_[~np.isin(all_, few[i])]])
-        return out
-
-    def batch(cols: list[np.ndarray], values: np.ndarray, ends: np.ndarray) -> pa.RecordBatch:
-        lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values))
-        return pa.RecordBatch.from_arrays([*(pa.array(v) for v in cols), lists], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts, _ in fresh(batches):
             for at, s, first in shingles.runs(texts):
                 low, last = (s >> np.uint64(32)).astype(np.uint32).view(np.int32), first[1:] - shingles.WORDS
+                bounds = np.concatenate([first[:-1], last[-1:] + 1])
                 for key, t, _, c, _ in keyed(s, first, length, hashes, bits.value):
                     doc = ids[at + t]
                     ask = passes(asks.value, (key.view(np.int64) ^ doc ^ c).view(np.uint64))
                     some = apart(key, t, c, length) | ask
                     key, doc, t, c, ask = key[some].view(np.int64), doc[some], t[some], c[some], ask[some]
-                    size = last[t] - first[t]
-                    place = c[:, None] + offsets
-                    there = ((place >= 0) & (place <= size[:, None])).ravel()
-                    place = np.where(there, (place + first[t][:, None]).ravel(), 0)
-                    values = np.where(there, low[place], np.int32(0)).reshape(len(t), -1)
-                    one = once(key, doc, values)
-                    cols = [key[one], doc[one], c[one].astype(np.int32), np.full(len(one), -1, np.int32)]
-                    more = others(values[one], low, c[one], size[one], first[t[one]])
-                    parts = [v for two in zip(values[one], more, strict=True) for v in two]
-                    yield batch(cols, np.concatenate([*parts, values[:0].ravel()]), np.concatenate([[0], np.cumsum([len(offsets) + len(v) for v in more])]))
-                    if ask.any():
-                        lo, hi = np.maximum(0, c - reach)[ask], np.minimum(size, c + reach)[ask]
-                        ends = np.concatenate([[0], np.cumsum(hi - lo + 1)])
-                        place = np.repeat(lo + first[t][ask] - ends[:-1], hi - lo + 1) + np.arange(ends[-1])
-                        yield batch([key[ask], doc[ask], c[ask].astype(np.int32), lo.astype(np.int32)], low[place], ends)
+                    place = c[:, None] + np.arange(-spread(length), spread(length) + 1) * STEP
+                    there = (place >= 0) & (place <= (last[t] - first[t])[:, None])
+                    values = np.where(there, low[np.where(there, place + bounds[t][:, None], 0)], np.int32(0))
+                    ask[once(key, doc, values)] = True
+                    key, doc, t, c = key[ask], doc[ask], t[ask], c[ask]
+                    lo, hi = np.maximum(0, c - reach), np.minimum(last[t] - first[t], c + reach)
+                    ends = np.concatenate([[0], np.cumsum(hi - lo + 1)])
+                    near = low[np.repeat(lo + first[t] - ends[:-1], hi - lo + 1) + np.arange(ends[-1])]
+                    lists = pa.Array.from_buffers(pa.binary(), len(c), [None, pa.py_buffer((4 * ends).astype(np.int32)), pa.py_buffer(near)])
+                    yield pa.RecordBatch.from_arrays([*(pa.array(v) for v in (key, doc, c.astype(np.int32), lo.astype(np.int32))), lists], names)
         shingles.forget()
 
-    return docs.select("doc", "text").mapInArrow(run, "key long, doc long, c int, from_ int, near array<int>")
+    return docs.select("doc", "text").mapInArrow(run, "key long, doc long, c int, from_ int, near binary")
+
+
+def lists_of(near: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles of near_windows() in one array, and where each row's begin, with their number at the end."""
+    one = near.combine_chunks() if near.num_chunks != 1 else near.chunk(0)
+    ends = np.frombuffer(one.buffers()[1], np.int32)[one.offset : one.offset + len(one) + 1] // 4
+    return np.frombuffer(one.buffers()[2] or b"", np.int32), ends.astype(np.int64)
+
+
+def promising(group: np.ndarray, doc: np.ndarray, root: np.ndarray, kind: np.ndarray, flat: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which windows have a shingle nearby that makes them candidates, and which of these have a run of `length` whose
+    shingles are near other windows of the group, whichever they are, but for those that one passage may lack. kind is
+    OPEN, CLOSED or 0 for windows that are not to be held against others. A shingle counts if a window has it that may
+    be a pair with this one: of another text if one of both is open, of another class if one is closed.
+
+    A window without such a run has no passage round it that similar_parts() would find. The steps are linear in the number of shingles. They
+    take some groups at a time."""
+    if len(doc) > PART and group[0] != group[-1]:
+        some, strong, at = np.zeros(len(doc), bool), np.zeros(len(doc), bool), 0
+        edge = np.concatenate([np.flatnonzero(group[1:] != group[:-1]) + 1, [len(doc)]])
+        while at < len(doc):
+            to = int(max(edge[max(0, np.searchsorted(edge, at + PART, "right") - 1)], edge[np.searchsorted(edge, at, "right")]))
+            part = slice(at, to)
+            some[part], strong[part] = promising(group[part], doc[part], root[part], kind[part], flat, ends[at : to + 1], length)
+            at = to
+        return some, strong
+    sizes = np.diff(ends)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    value = group[row].astype(np.uint64) << np.uint64(32) | flat[ends[0] : ends[-1]].view(np.uint32).astype(np.uint64)
+    order = np.argsort(value, kind="stable")
+    value, at = value[order], row[order]
+    new = np.concatenate([[True], value[1:] != value[:-1]])[: len(value)]
+    first, nth = np.flatnonzero(new), np.cumsum(new) - 1
+    mark = np.zeros(len(value), bool)
+    for of, ask in ((np.unique(doc, return_inverse=True)[1], kind == OPEN), (np.unique(root, return_inverse=True)[1], kind == CLOSED)):
+        if not ask.any():
+            continue
+        mine, asked = of[at], ask[at]
+        for low, high, who in ((mine, mine, asked), (np.where(asked, mine, len(of)), np.where(asked, mine, -1), True)):
+            least, most = np.minimum.reduceat(low, first)[nth], np.maximum.reduceat(high, first)[nth]
+            mark |= ((least < mine) | (most > mine)) & who
+    marked = np.zeros(len(value), bool)
+    marked[order] = mark
+    sums = np.concatenate([[0], np.cumsum(marked)])
+    some = sums[ends[1:] - ends[0]] > sums[ends[:-1] - ends[0]]
+    strong = np.zeros(len(sizes), bool)
+    if len(row) >= length:
+        full = (sums[length:] - sums[:-length] >= shared(length, PERCENT)) & (row[: len(row) - length + 1] == row[length - 1 :])
+        strong[row[: len(full)][full]] = True
+    return some, strong
 
 
 def covered(rows: np.ndarray, length: int, agree: int) -> list[tuple[int, int, int, int]]:
@@ -249,6 +286,29 @@ def covered(rows: np.ndarray, length: int, agree: int) -> list[tuple[int, int, i
     return out
 
 
+def paired(rows: DataFrame, length: int) -> DataFrame:
+    """The windows of keys that several texts have, each with the first one of its key, and those of the first text
+    with the last one: key, doc, c, mine, other, its (see covered()), m, the number of the key's windows, and `head`,
+    true for one window of each key."""
+    dealt = rows.repartition(partitions(rows.sparkSession), "key").sortWithinPartitions("key", "doc", "c")
+
+    def run(table: pa.Table) -> pa.RecordBatch:
+        key, doc, a, c, b = (table.column(x).to_numpy() for x in ("key", "doc", "a", "c", "b"))
+        new = np.concatenate([[True], key[1:] != key[:-1]])
+        first, nth = np.flatnonzero(new), np.cumsum(new) - 1
+        m = np.diff(np.concatenate([first, [len(key)]]))
+        last = first + m - 1
+        use = np.flatnonzero((doc[first] != doc[last])[nth])
+        nth = nth[use]
+        with_ = np.where(doc[use] == doc[first[nth]], last[nth], first[nth])
+        starts = np.maximum(a, c - (length - 1)).astype(np.int64) << 32 | np.minimum(c, b - (length - 1)).astype(np.int64)
+        cols = [key[use], doc[use], c[use], starts[use], doc[with_], starts[with_], m[nth].astype(np.int64), new[use]]
+        return pa.RecordBatch.from_arrays([pa.array(v) for v in cols], ["key", "doc", "c", "mine", "other", "its", "m", "head"])
+
+    schema = "key long, doc long, c int, mine long, other long, its long, m long, head boolean"
+    return dealt.mapInArrow(lambda batches: grouped(["key"], run, batches), schema)
+
+
 def regions(pairs: DataFrame, length: int, agree: int) -> DataFrame:
     """doc, s, e, other, os, oe from the joined windows, which come sorted by pair of texts."""
 
@@ -488,18 +548,25 @@ def together(found: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "doc long, s long, e long, other long, os long, oe long")
 
 
-def alike(near: list[np.ndarray], few: np.ndarray, whole: np.ndarray, ours: np.ndarray, its_: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def alike(near: list[np.ndarray], few: np.ndarray, all_: np.ndarray, ours: np.ndarray, its_: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, ...]]:
     """Indices (of lists, of rows) that may have a run of `length` shingles round their smallest one in common but for
-    one word, or two words put in, and how many they share. near: all shingles round windows; few: every STEP-th of
-    other windows, 0 for none.
+    one word, or two words put in, how many they share, and whether it is the list's run that is in the row. near: all shingles round windows; few: every STEP-th of
+    other windows, and all_: all of them, 0 for none.
 
     A run of `length` holds a stretch of spread + 1 of these, and the up to length - need + 1 shingles next to each
-    other that are not in both are so many less (see verified()). A row of few that is `whole` is followed by what else is near
-    it, so that the lists' own stretches of `length` can be held against it: a line that is said many times on end fills
-    the row of one text, but not the list of another that says it a few times. Only texts of one class (ours and its_)
-    are held so: of two classes none that could be linked is left out."""
+    other that are not in both are so many less (see verified()). Of the pairs that these leave, those are candidates
+    in which a stretch of `length` of one list is in the other but for what a passage may lack. A line that is said
+    many times on end fills the list of one text, but not the list of another that says it a few times: between texts
+    of one class (ours and its_) it is the stretch of `near` that counts if the row says few different shingles."""
     n, width, least = spread(length) + 1, 2 * spread(length) + 1, shared(length, PERCENT)
     need = n - -(-(length - shared(length, PERCENT) + 1) // STEP)
+    order = np.sort(few, axis=1)
+    whole = (order[:, 1:] != order[:, :-1]).sum(axis=1) < spread(length)
+
+    def holds(hit: np.ndarray) -> np.ndarray:
+        sums = np.cumsum(hit, axis=1, dtype=np.uint8)
+        return np.maximum(sums[:, length - 1], (sums[:, length:] - sums[:, :-length]).max(axis=1, initial=0)) >= least
+
     for x in range(0, len(near), ASKED):
         some = near[x : x + ASKED]
         ids, flat = np.unique(np.concatenate(some), return_inverse=True)
@@ -508,28 +575,27 @@ def alike(near: list[np.ndarray], few: np.ndarray, whole: np.ndarray, ours: np.n
         has[flat, np.repeat(np.arange(len(some)), sizes)] = 1
         place = np.full((len(some), max(sizes.max(), length)), len(ids))
         place[np.arange(place.shape[1]) < sizes[:, None]] = flat
-        at = np.searchsorted(ids, few)
-        at[(few == 0) | (ids[np.minimum(at, len(ids) - 1)] != few)] = len(ids)
         for y in range(0, len(few), 4 * ASKED):
-            sums = np.cumsum(has[at[y : y + 4 * ASKED, :width]], axis=1, dtype=np.uint8)
-            most = sums[:, n - 1]
-            for i in range(n, width):
-                most = np.maximum(most, sums[:, i] - sums[:, i - n])
+            both = np.concatenate([few[y : y + 4 * ASKED], all_[y : y + 4 * ASKED]], axis=1)
+            at = np.searchsorted(ids, both)
+            at[(both == 0) | (ids[np.minimum(at, len(ids) - 1)] != both)] = len(ids)
+            sums = np.cumsum(has[at[:, :width]], axis=1, dtype=np.uint8)
+            most = np.maximum(sums[:, n - 1], (sums[:, n:] - sums[:, :-n]).max(axis=1))
             them, mine = np.nonzero(most >= need)
             if not len(them):
                 continue
             its = np.zeros((len(most), len(ids) + 1), bool)
-            its[np.arange(len(most))[:, None], at[y : y + 4 * ASKED]] = True
+            its[np.arange(len(most))[:, None], at] = True
             its[:, -1] = False
-            fit = ~whole[y + them] | (ours[x + mine] != its_[y + them])
-            known = np.flatnonzero(~fit)
-            for z in range(0, len(known), BLOCK):
-                i = known[z : z + BLOCK]
-                back = np.cumsum(its[them[i, None], place[mine[i]]], axis=1, dtype=np.uint8)
-                fit[i] = np.maximum(back[:, length - 1], (back[:, length:] - back[:, :-length]).max(axis=1, initial=0)) >= least
+            fit, held = np.zeros(len(them), bool), np.zeros(len(them), bool)
+            for z in range(0, len(them), BLOCK):
+                i, j = mine[z : z + BLOCK], them[z : z + BLOCK]
+                either = ~whole[y + j] | (ours[x + i] != its_[y + j])
+                held[z : z + BLOCK] = holds(its[j[:, None], place[i]])
+                fit[z : z + BLOCK] = held[z : z + BLOCK] | either & holds(has[at[j, width:], i[:, None]])
             them, mine = them[fit], mine[fit]
             # the shared ones of the whole list tell apart what has the same best stretch
-            yield x + mine, y + them, most[them, mine].astype(np.int64) << 8 | sums[them, -1, mine]
+            yield x + mine, y + them, most[them, mine].astype(np.int64) << 8 | sums[them, -1, mine], held[fit]
 
 
 def best(mine: np.ndarray, them: np.ndarray, score: np.ndarray, open_: np.ndarray, ours: np.ndarray, its: np.ndarray) -> np.ndarray:
@@ -573,17 +639,30 @@ def still_open(df: DataFrame, done: DataFrame) -> DataFrame:
     return df.join(checked(lists, WIDE), "doc", "left").withColumn("open", ~inside).drop("runs")
 
 
-def unsettled(rows: DataFrame, ends: DataFrame, done: DataFrame, root: DataFrame, length: int) -> DataFrame:
+def unsettled(rows: DataFrame, done: DataFrame, root: DataFrame, length: int) -> DataFrame:
     """key, doc, c, open, main: the windows that are to be held against all others with their key. These are the open
     ones, and, where a key's texts are of several classes, those of all classes but its largest one, `main`."""
-    rows = rooted(still_open(rows.select("key", "doc", "c"), done), root, "doc", "root").join(ends.select("key"), "key", "left_semi")
-    each = rows.repartition("key").groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"), F.max("open").alias("open"))
-    keys = each.groupBy("key").agg(F.max(F.struct("n", "root")).alias("top"), F.count(F.lit(1)).alias("k"), F.max("open").alias("some"))
-    keys = cut(keys.where("k > 1 or some").select("key", F.col("top.root").alias("main")))
-    left = rows.join(checked(keys), "key").where("open or root <> main").select("key", "doc", "c", "open", "main").distinct()
-    places = Window.partitionBy("key", "doc").orderBy("c")
-    beside = F.coalesce((F.lag("c").over(places) == F.col("c") - 1) & (F.lead("c").over(places) == F.col("c") + 1), F.lit(False))
-    return left.withColumn("beside", beside).where(f"not beside or c % {length} = 0").drop("beside")  # as apart() does
+    rows = rooted(still_open(rows.select("key", "doc", "c"), done), root, "doc", "root").select("key", "doc", "c", "open", "root")
+    dealt = rows.repartition(partitions(rows.sparkSession), "key").sortWithinPartitions("key")
+
+    def run(table: pa.Table) -> pa.RecordBatch:
+        key, doc, c, open_, of = (table.column(x).to_numpy() for x in ("key", "doc", "c", "open", "root"))
+        order = np.lexsort((c, doc, of, key))
+        key, doc, c, open_, of = (v[order] for v in (key, doc, c, open_, of))
+        new = np.concatenate([[True], key[1:] != key[:-1]])
+        part = np.flatnonzero(new | np.concatenate([[True], of[1:] != of[:-1]]))  # of each class of a key
+        nth, group = np.cumsum(new) - 1, np.cumsum(new[part]) - 1
+        most = np.lexsort((of[part], np.diff(np.concatenate([part, [len(key)]])), group))
+        main = of[part][most[np.concatenate([group[1:] != group[:-1], [True]])]]
+        use = np.flatnonzero(open_ | (of != main[nth]))
+        order = use[np.lexsort((c[use], doc[use], key[use]))]
+        same = (key[order][1:] == key[order][:-1]) & (doc[order][1:] == doc[order][:-1])
+        order = order[np.concatenate([[True], ~(same & (c[order][1:] == c[order][:-1]))])[: len(order)]]
+        use = order[apart(key[order], doc[order], c[order], length)]
+        cols = [key[use], doc[use], c[use], open_[use], main[nth[use]]]
+        return pa.RecordBatch.from_arrays([pa.array(v) for v in cols], ["key", "doc", "c", "open", "main"])
+
+    return dealt.mapInArrow(lambda batches: grouped(["key"], run, batches), "key long, doc long, c int, open boolean, main long")
 
 
 def near_asked(docs: DataFrame, left: DataFrame, length: int, hashes: int, reach: int) -> DataFrame:
@@ -594,81 +673,145 @@ def near_asked(docs: DataFrame, left: DataFrame, length: int, hashes: int, reach
     return near_windows(docs, length, hashes, reach, share(bit_filter(left, "key", size)), share(bit_filter(one, "one", size)))
 
 
+def grouped(columns: list[str], run, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """run(table) for tables of whole groups, from batches that are sorted by the group's columns."""
+    rest, size = [], 0
+
+    def cut_at(table: pa.Table) -> int:
+        group = np.stack([table.column(c).to_numpy() for c in columns], axis=1)
+        return int(np.argmax(np.all(group == group[-1], axis=1)))
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rest.append(pa.Table.from_batches([batch]))
+        size += batch.num_rows
+        if size < BLOCK:
+            continue
+        table = pa.concat_tables(rest).combine_chunks()
+        if last := cut_at(table):
+            yield run(table.slice(0, last))
+            table = table.slice(last)
+        rest, size = [table], 0 if last else table.num_rows
+    if rest:
+        yield run(pa.concat_tables(rest).combine_chunks())
+
+
+def marked(near: DataFrame, left: DataFrame) -> DataFrame:
+    """The rows of near_windows() and behind them those that say which windows are compared."""
+    return near.union(left.selectExpr("key", "doc", "c", f"if(open, {OPEN}, {CLOSED}) as from_", "cast(null as binary) as near"))
+
+
+def kinds(group: np.ndarray, doc: np.ndarray, c: np.ndarray, from_: np.ndarray) -> np.ndarray:
+    """OPEN or CLOSED for each row of near_windows() whose window has a row that says so, 0 for the others."""
+    place = shingles.mix(shingles.mix(doc.view(np.uint64)) + c.view(np.uint64)) + group.astype(np.uint64)
+    out = np.zeros(len(group), np.int64)
+    for kind in (CLOSED, OPEN):
+        out[(from_ >= 0) & np.isin(place, place[from_ == kind])] = kind
+    return out
+
+
+def promising_near(near: DataFrame, left: DataFrame, root: DataFrame, ends: DataFrame, length: int) -> DataFrame:
+    """The rows of `near` without those of keys in which no window in `left` can make a passage with another one, and
+    without those that have nothing nearby in common with others (see promising()). Keys of more than BLOCK windows stay whole,
+    so that no task gets all of a frequent key; open_regions() does the same to their blocks."""
+    hot = checked(cut(ends.where(f"m > {BLOCK}").select("key")))
+    cold = rooted(marked(near, left).join(hot, "key", "left_anti"), root, "doc", "root")
+    dealt = cold.repartition(partitions(near.sparkSession), "key").sortWithinPartitions("key")
+
+    def run(table: pa.Table) -> pa.RecordBatch:
+        key, doc, c, from_, of = (table.column(x).to_numpy().astype(np.int64) for x in ("key", "doc", "c", "from_", "root"))
+        group = np.concatenate([[0], np.cumsum(key[1:] != key[:-1])])
+        kind = kinds(group, doc, c, from_)
+        asked = np.bincount(group, kind != 0) > 0
+        rows = np.flatnonzero((from_ >= 0) & asked[group])
+        if len(rows):
+            table = table.take(pa.array(rows))
+            group, doc, of, kind = group[rows], doc[rows], of[rows], kind[rows]
+            some, strong = promising(group, doc, of, kind, *lists_of(table.column("near")), length)
+            good = np.bincount(group, strong & (kind != 0)) > 0
+            rows = np.flatnonzero(some & good[group])
+        return table.take(pa.array(rows)).select(names).combine_chunks().to_batches()[0] if len(rows) else none
+
+    names = near.columns
+    none = pa.RecordBatch.from_arrays([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())], names)
+    cold = dealt.select(*names, "root").mapInArrow(lambda batches: grouped(["key"], run, batches), near.schema)
+    return cold.union(near.join(hot, "key", "left_semi").select(*names))
+
+
 def open_regions(near: DataFrame, left: DataFrame, root: DataFrame, ends: DataFrame, length: int, reach: int, every: bool, scratch: Scratch) -> DataFrame:
     """doc, s, e, other, os, oe: candidates for the windows in `left` (see unsettled()) among the windows of other texts
     with their key whose shingles nearby may make a passage with their own: for an open window any, for another one
-    those of other classes. With `every` all of them, else the best ones (see best()). `ends` has the number m of
+    those of other classes. Without `every` the best ones (see best()). With it all whose run of `length` in the
+    window's text is near the other one, as similar_parts() asks for, and of those where it is the other way round a
+    forest that joins the same classes. Windows without such a run near others (see promising()) are not tried, so texts
+    in which one word is said many times on end do not make a pair each with each other. `ends` has the number m of
     windows of each key. A key's windows in `left` and all its windows are compared in blocks of about BLOCK each, so of
     all its windows only those in `left` go to more than one task, unless these are more than a block."""
     spark = near.sparkSession
     blocks = lambda n: F.expr(f"cast(({n} + {BLOCK - 1}) div {BLOCK} as int)")
     asked = cut(left.groupBy("key").agg(F.count(F.lit(1)).alias("n")))
-    hot = ends.where(f"m > {BLOCK}").select("key", "m").join(asked, "key").select("key", blocks("m").alias("k"), blocks("n").alias("q"))
-    near = near.join(checked(asked.select("key")), "key", "left_semi")
-    near = near.union(left.selectExpr("key", "doc", "c", f"if(open, {OPEN}, {CLOSED}) as from_", "cast(null as array<int>) as near"))
-    near = rooted(near.join(checked(cut(hot)), "key", "left"), root, "doc", "root")
+    hot = cut(ends.where(f"m > {BLOCK}").select("key", "m").join(checked(asked), "key").select("key", blocks("m").alias("k"), blocks("n").alias("q")))
+    near = rooted(marked(near, left).join(checked(hot), "key", "left"), root, "doc", "root")
     near = near.withColumns({"k": F.expr("coalesce(k, 1)"), "q": F.expr("coalesce(q, 1)")})
-    near = near.withColumn("x", F.expr(f"if(from_ = -1, pmod(xxhash64(slice(near, 1, {2 * spread(length) + 1})), k), pmod(xxhash64(doc, c), q))").cast("int"))
-    near = near.withColumn("y", F.explode(F.expr("sequence(0, if(from_ = -1, q, k) - 1)")))
-    near = near.selectExpr("key", "if(from_ = -1, x, y) as i", "if(from_ = -1, y, x) as j", "doc", "c", "from_", "near", "root")
+    # each window is in a block of all its key's windows; it stands among those that are compared, too, if it is in left
+    one = left.select(F.col("key").alias("_key"), F.col("doc").alias("_doc"), F.col("c").alias("_c")).distinct()
+    side_ = near.where("k * q > 1 and from_ >= 0").join(checked(one), F.expr("key = _key and doc = _doc and c = _c"), "left_semi")
+    x, y = F.expr("pmod(xxhash64(near), k)").cast("int"), F.expr("pmod(xxhash64(doc, c), q)").cast("int")
+    blocked = near.where("from_ >= 0").withColumns({"i": x, "j": F.explode(F.expr("sequence(0, q - 1)")), "asks": F.expr("k * q = 1")})
+    asking = side_.union(near.where("from_ < 0")).withColumns({"i": F.explode(F.expr("sequence(0, k - 1)")), "j": y, "asks": F.lit(True)})
+    near = blocked.union(asking.select(*blocked.columns)).select("key", "i", "j", "doc", "c", "from_", "near", "root", "asks")
     dealt = near.repartition(partitions(spark), "key", "i", "j").sortWithinPartitions("key", "i", "j")
     names = ["doc", "s", "e", "other", "os", "oe", "shift"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def found(table: pa.Table) -> pa.RecordBatch:
-            group = np.stack([table.column(c).to_numpy() for c in ("key", "i", "j")], axis=1)
-            doc, c, lo, of = (table.column(x).to_numpy().astype(np.int64) for x in ("doc", "c", "from_", "root"))
-            place = shingles.mix(doc.view(np.uint64)) + c.view(np.uint64)
-            lists = table.column("near").combine_chunks()
-            flat, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
-            edge = np.flatnonzero(np.any(group[1:] != group[:-1], axis=1)) + 1
-            out = [np.zeros((0, 7), np.int64)]
-            for first, last in zip([0, *edge], [*edge, len(group)], strict=True):
-                kind, known = lo[first:last], place[first:last]
-                if not (kind < -1).any():
-                    continue
-                asks = first + np.flatnonzero((kind >= 0) & np.isin(known, known[kind < -1]))
-                all_ = first + np.flatnonzero(kind == -1)
-                if not len(asks) or not len(all_):
-                    continue
-                open_ = np.isin(place[asks], known[kind == OPEN])
-                width = 2 * spread(length) + 1
-                few = np.stack([flat[ends[r] : ends[r] + width] for r in all_])
-                # of each class two texts with the same shingles: one of them is another text
-                two = once(shingles.mix(of[all_].view(np.uint64)).view(np.int64), doc[all_], few, 2)
-                all_, few = all_[two], few[two]
-                long = ends[all_ + 1] - ends[all_]
-                its = np.zeros((len(all_), long.max()), few.dtype)
-                its[:, :width] = few
-                for n, r in enumerate(all_.tolist()):
-                    its[n, width : long[n]] = flat[ends[r] + width : ends[r + 1]]
-                pairs = []
-                for mine, them, score in alike([flat[ends[r] : ends[r + 1]] for r in asks], its, long > width, of[asks], of[all_], length):
-                    x, y = asks[mine], all_[them]
-                    use = (doc[x] != doc[y]) & (open_[mine] | (of[x] != of[y]))
-                    pairs.append(np.stack([mine[use], y[use], score[use]]))
-                at, them, score = np.concatenate(pairs, axis=1)
-                mine = asks[at]
-                if not every and len(at):
-                    some = best(mine, them, score, open_[at], of[mine], of[them])
-                    mine, them = mine[some], them[some]
-                hi = lo[mine] + (ends[mine + 1] - ends[mine]) - 1
-                cols = [doc[mine], np.maximum(lo[mine], c[mine] - length + 1), np.minimum(hi, c[mine] + length - 1)]
-                out.append(np.stack([*cols, doc[them], np.maximum(0, c[them] - reach), c[them] + reach, c[them] - c[mine]], axis=1))
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in np.concatenate(out).T], names)
-
-        rest = None
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            rest = pa.concat_tables([rest, table]) if rest is not None else table
-            group = np.stack([rest.column(c).to_numpy() for c in ("key", "i", "j")], axis=1)
-            if len(group) and (last := int(np.argmax(np.all(group == group[-1], axis=1)))):
-                yield found(rest.slice(0, last))
-                rest = pa.table(pa.concat_tables([rest.slice(last)]).combine_chunks())
-        if rest is not None and rest.num_rows:
-            yield found(rest)
-
-    both = dealt.mapInArrow(run, "doc long, s long, e long, other long, os long, oe long, shift long")
+    def found(table: pa.Table) -> pa.RecordBatch:
+        group = np.stack([table.column(c).to_numpy() for c in ("key", "i", "j")], axis=1)
+        doc, c, lo, of = (table.column(x).to_numpy().astype(np.int64) for x in ("doc", "c", "from_", "root"))
+        asker = table.column("asks").to_numpy()
+        nth = np.concatenate([[0], np.cumsum(np.any(group[1:] != group[:-1], axis=1))])
+        # in a block a window that is compared has a row of its own among the askers
+        kind = np.where(asker, kinds(nth, doc, c, lo), 0)
+        flat, ends = lists_of(table.column("near"))
+        some, strong = promising(nth, doc, of, kind, flat, ends, length) if (kind != 0).any() else (kind != 0, kind != 0)
+        hopeful = np.bincount(nth, strong & (kind != 0)) > 0
+        edge = np.flatnonzero(nth[1:] != nth[:-1]) + 1
+        out = [np.zeros((0, 7), np.int64)]
+        for n, (first, last) in enumerate(zip([0, *edge], [*edge, len(nth)], strict=True)):
+            if not hopeful[n]:
+                continue
+            use = some[first:last]
+            asks = first + np.flatnonzero(use & (kind[first:last] != 0) & strong[first:last])
+            one_block = asker[first:last][lo[first:last] >= 0].all()
+            all_ = first + np.flatnonzero(use & (lo[first:last] >= 0) & (one_block | ~asker[first:last]))
+            if not len(asks) or not len(all_):
+                continue
+            open_ = kind[asks] == OPEN
+            few = sampled(flat, ends, all_, c[all_] - lo[all_], length)
+            # of each class two texts with the same shingles: one of them is another text
+            two = once(shingles.mix(of[all_].view(np.uint64)).view(np.int64), doc[all_], few, 2)
+            all_, few = all_[two], few[two]
+            sizes = ends[all_ + 1] - ends[all_]
+            its = np.zeros((len(all_), max(sizes.max(), length)), few.dtype)
+            there = np.arange(its.shape[1]) < sizes[:, None]
+            its[there] = flat[(ends[all_][:, None] + np.arange(its.shape[1]))[there]]
+            pairs = [np.zeros((4, 0), np.int64)]
+            for mine, them, score, held in alike([flat[ends[r] : ends[r + 1]] for r in asks], few, its, of[asks], of[all_], length):
+                x, y = asks[mine], all_[them]
+                use = (doc[x] != doc[y]) & (open_[mine] | (of[x] != of[y]))
+                pairs.append(np.stack([mine[use], y[use], score[use], held[use]]))
+            at, them, score, held = np.concatenate(pairs, axis=1)
+            mine = asks[at]
+            if len(at):
+                rest = np.flatnonzero((held == 0) | (not every))
+                some_ = rest[best(mine[rest], them[rest], score[rest], open_[at[rest]] & (not every), of[mine[rest]], of[them[rest]])]
+                some_ = np.union1d(some_, np.flatnonzero((held != 0) & every))
+                mine, them = mine[some_], them[some_]
+            hi = lo[mine] + (ends[mine + 1] - ends[mine]) - 1
+            cols = [doc[mine], np.maximum(lo[mine], c[mine] - length + 1), np.minimum(hi, c[mine] + length - 1)]
+            out.append(np.stack([*cols, doc[them], np.maximum(0, c[them] - reach), c[them] + reach, c[them] - c[mine]], axis=1))
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in np.concatenate(out).T], names)
+
+    both = dealt.mapInArrow(lambda batches: grouped(["key", "i", "j"], found, batches), "doc long, s long, e long, other long, os long, oe long, shift long")
     return scratch.keep(together(both.distinct()))
 
 
@@ -707,15 +850,10 @@ def repeated_passages(docs: DataFrame, words: int = PASSAGE, percent: int = PERC
         bits = spark.sparkContext.broadcast(bit_filter(twice.where("lo <> hi"), "key", log))
         del twice
         release(spark)
-        rows = scratch.keep(windows(docs, length, hashes, bits))
-        one = F.struct("doc", "c", "a", "b")
-        ends = rows.groupBy("key").agg(F.min(one).alias("lo"), F.max(one).alias("hi"), F.count(F.lit(1)).alias("m"))
-        ends = scratch.keep(ends.where("lo.doc <> hi.doc"))
+        rows = scratch.keep(paired(windows(docs, length, hashes, bits), length))
+        ends = rows.where("head").select("key", "m")
         release(spark)
-        starts = lambda a, c, b: [f"greatest({a}, {c} - {length - 1})", f"least({c}, {b} - {length - 1})"]
-        span = lambda x: "shiftleft(cast({} as long), 32) + {}".format(*starts(f"{x}a", f"{x}c", f"{x}b"))
-        pairs = rows.join(ends.drop("m"), "key").withColumn("o", F.when(F.col("doc") == F.col("lo.doc"), F.col("hi")).otherwise(F.col("lo")))
-        pairs = pairs.selectExpr("doc", "o.doc as other", f"{span('')} as mine", f"{span('o.')} as its")
+        pairs = rows.select("doc", "other", "mine", "its")
         found = scratch.keep(regions(pairs, length, 1))
         release(spark)
         first = scratch.keep(similar_parts(docs, least, found, length, percent, scratch))
@@ -724,8 +862,10 @@ def repeated_passages(docs: DataFrame, words: int = PASSAGE, percent: int = PERC
         links = lambda df: df.selectExpr("doc_id as a", "other_id as b")
         both, reach = first, length + length // 3
         root = components(links(first))
-        left = scratch.keep(unsettled(rows, ends, spans(first), root, length))
+        left = scratch.keep(unsettled(rows, spans(first), root, length))
         near = scratch.keep(near_asked(docs, left, length, hashes, reach))
+        near = scratch.keep(promising_near(near, left, root, ends, length))
+        left = scratch.keep(left.join(checked(cut(near.select("key").distinct())), "key", "left_semi").select(*left.columns))
         release(spark)
         for every in (False, True):
             rest = open_regions(near, left, root, ends, length, reach, every, scratch)

@@ -315,6 +315,22 @@ def test_passages_of_settled_windows_are_one_class(spark):
     assert len([r for r in got if r.doc_id >= 5000]) == 6
 
 
+def test_texts_that_say_a_word_many_times_do_not_make_a_pair_each(spark, monkeypatch):
+    """Candidates are few: the short runs of the word hold no passage, and the long ones are settled by one other text."""
+    verify, tried = substring.similar_parts, []
+
+    def counted(docs, least, found, *rest):
+        tried.append(found.count())
+        return verify(docs, least, found, *rest)
+
+    monkeypatch.setattr(substring, "similar_parts", counted)
+    some = lambda i, n: [f"v{i}x{k}" for k in range(n)]
+    rows = [(i, " ".join(some(i, 30) + ["of"] * (22 + i % 9 if i < 40 else 70 + i) + some(-i, 30))) for i in range(80)]
+    got = substring.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id for r in got} == set(range(40, 80))
+    assert sum(tried) < 10 * len(rows), tried
+
+
 def test_a_waiting_worker_keeps_no_tables_of_shingles():
     text = pa.array([" ".join(f"w{i % 977}" for i in range(400_000))])
     tracemalloc.start()
